@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from careerlake.session import tune
-from harness import dashboard
+from harness import chatting, cleaning, dashboard, merging, searching
 
-MODULES = [dashboard]
+MODULES = [dashboard, cleaning, merging, searching, chatting]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -19,7 +19,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session() -> SparkSession:
     return (
         SparkSession.builder.master("local[8]").appName("careerlake")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -73,13 +73,13 @@ def compare(spark, connection, folder: str, name: str) -> tuple[bool, str]:
 
 def main(folder: str, chosen: list[str]) -> int:
     spark, connection = session(), connect(folder)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     bad = 0
     for name in chosen or list(catalog.queries()):
         try:
             good, text = compare(spark, connection, folder, name)
         except Exception as error:  # report and go on with the next query
-            good, text = False, f"{type(error).__name__}: {str(error)[:1500]}"
+            good, text = False, f"{type(error).__name__}: {str(error)[:600]}"
         bad += not good
         print("ok  " if good else "FAIL", name, text, flush=True)
     return bad

@@ -9,10 +9,10 @@ from careerlake.plans.star import Filters
 from harness import roles
 from harness.roles import with_star
 
-CHOSEN = Filters(industry="FRANCE", category="PROMO", level="2-HIGH", location="GERMANY")
-_WHERE = """industry_name = 'FRANCE' AND category_name = 'PROMO' AND job_level = '2-HIGH'
-    AND job_id IN (SELECT job_id FROM loc WHERE location_name = 'GERMANY')"""
-_PLACE = Filters(location="GERMANY")
+CHOSEN = Filters(industry="NATION_7", category="PROMO", level="2-HIGH", location="NATION_3")
+_WHERE = """industry_name = 'NATION_7' AND category_name = 'PROMO' AND job_level = '2-HIGH'
+    AND job_id IN (SELECT job_id FROM loc WHERE location_name = 'NATION_3')"""
+_PLACE = Filters(location="NATION_3")
 _KPI = """SELECT count(DISTINCT job_id) AS total_jobs, count(DISTINCT company_id) AS total_companies,
     avg(nullif(salary_numeric, 0)) AS avg_salary, avg(years_of_experience) AS avg_experience
     FROM base"""
@@ -85,7 +85,7 @@ ORACLE = {
         FROM base b JOIN sk ON b.job_id = sk.job_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
     "top_skills_by_location": with_star("""SELECT skill_name, count(DISTINCT b.job_id) AS jobs
         FROM base b JOIN sk ON b.job_id = sk.job_id
-        WHERE b.job_id IN (SELECT job_id FROM loc WHERE location_name = 'GERMANY')
+        WHERE b.job_id IN (SELECT job_id FROM loc WHERE location_name = 'NATION_3')
         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
     "level_distribution": with_star("""SELECT job_level, count(DISTINCT job_id) AS jobs
         FROM base GROUP BY 1"""),

@@ -153,6 +153,11 @@ def with_star(body: str) -> str:
 # --- job documents ----------------------------------------------------------------
 
 
+def _benefit(local: Column, name: Column, value: Column) -> Column:
+    return F.struct(local.alias("benefitNameVI"), name.alias("benefitName"),
+                    value.alias("benefitValue"))
+
+
 def job_documents(spark, sf) -> DataFrame:
     """Every order as a nested posting."""
     key = F.col("o_orderkey")
@@ -199,10 +204,9 @@ def job_documents(spark, sf) -> DataFrame:
         F.lit("").alias("expiredOn"),
         (key % 16).cast("int").alias("yearsOfExperience"),
         F.array(
-            F.struct(F.col("o_orderstatus").alias("benefitNameVI"), F.lit("").alias("benefitName"),
-                     F.col("o_orderpriority").alias("benefitValue")),
-            F.struct(F.lit(""), F.col("c_mktsegment"), F.lit("")),
-            F.struct(F.lit(""), F.lit(""), F.lit("unnamed")),
+            _benefit(F.col("o_orderstatus"), F.lit(""), F.col("o_orderpriority")),
+            _benefit(F.lit(""), F.col("c_mktsegment"), F.lit("")),
+            _benefit(F.lit(""), F.lit(""), F.lit("unnamed")),
         ).alias("benefits"),
         "skills", "workingLocations",
         F.struct(parent.alias("parentNameVI"), F.lit("").alias("parentName"), "children")
