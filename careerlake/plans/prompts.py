@@ -76,7 +76,8 @@ def prompt_table(requests: DataFrame, results: DataFrame, scopes: DataFrame,
     ``requests`` has ``query_id``, ``user_query``, ``cv_text`` and ``history``;
     ``results`` and ``scopes`` come from the search.
     """
-    rows = requests.join(search_context(results), "query_id", "left").join(
+    asked = requests.select("query_id", "user_query", "cv_text", "history")
+    rows = asked.join(search_context(results), "query_id", "left").join(
         scopes.select("query_id", "requested_location", "is_fallback"), "query_id", "left")
     system = system_text(
         introduction, rules, F.col("context"), F.coalesce("is_fallback", F.lit(False)),

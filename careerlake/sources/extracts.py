@@ -44,7 +44,8 @@ def write_extracts(tables: Mapping[str, DataFrame], folder: str) -> None:
     """Replace the extracts of a folder, all seven of them."""
     for name, df in tables.items():
         df.write.mode("overwrite").options(
-            header=True, quote='"', escape='"', emptyValue="").csv(f"{folder}/{name}.csv")
+            header=True, quote='"', escape='"', emptyValue="",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/{name}.csv")
 
 
 def has_data(tables: Mapping[str, DataFrame]) -> bool:

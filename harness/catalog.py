@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from careerlake.session import tune
-from harness import chatting, cleaning, dashboard, merging, searching
+from harness import chatting, cleaning, dashboard, loading, merging, searching
 
-MODULES = [dashboard, cleaning, merging, searching, chatting]
+MODULES = [dashboard, cleaning, merging, searching, chatting, loading]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
