@@ -62,8 +62,8 @@ def normalize(
 
     ``segment`` may join multi-word terms with ``_`` before stop words are dropped.
     """
-    spaced = F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " ")
-    tidy = F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
+    # Punctuation becomes a blank and blanks collapse: one pass over non-word runs.
+    tidy = F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
     if segment is not None:
         tidy = segment(tidy)
     words = F.filter(

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careerlake.functions.matching import (
-    lexical_score, mentions_all, mentions_any, query_keywords, searchable, searchable_chunk,
-    split_words,
+    lexical_score, mentions_all, mentions_any, query_keywords, scores_kept, search_terms,
+    searchable, searchable_chunk, split_words,
 )
 from careerlake.functions.text import clip, normalize_query
 from careerlake.functions.vectors import cosine_distance
@@ -137,24 +137,39 @@ def _chosen_candidates(docs: DataFrame, block: RequestBlock, n: int) -> DataFram
         "query_id", "job_id", "vector_distance", (F.col("scope") == "wide").alias("is_fallback")))
 
 
-def score_candidates(found: DataFrame, docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Candidates with their texts and lexical score; unrelated ones are dropped.
+def candidate_texts(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents among the candidates, without their vectors.
 
     The candidate ids of one block are bounded by block and branch size, so they are
-    broadcast, and documents are filtered in place instead of being shuffled.
+    broadcast: documents are filtered where they are read and never shuffled. The kept
+    rows are written down, as scoring and the final rows both need them.
     """
     ids = F.broadcast(found.select("job_id").distinct())
-    texts = docs.select(*[c for c in DOCUMENT_COLUMNS if c != "embedding"]).join(
-        ids, "job_id", "left_semi")
+    columns = [c for c in DOCUMENT_COLUMNS if c != "embedding"]
+    return checkpointed(docs.select(*columns).join(ids, "job_id", "left_semi"))
+
+
+def score_candidates(found: DataFrame, texts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Candidates with their lexical score; unrelated ones are dropped.
+
+    Terms are prepared once per request and texts once per document. Pairs carry only
+    terms into the join, so each text is shuffled once, and none leaves it.
+    """
     terms = requests.select(
-        "query_id", "wanted", "title_words", "keywords", "requested_location")
-    score = lexical_score(F.col("job_title"), F.col("chunk_text"), F.col("wanted"),
-                          F.col("title_words"), F.col("keywords"))
-    scored = found.join(texts, "job_id").join(terms, "query_id").withColumn(
-        "lexical_score", score)
-    asks_words = (F.col("wanted") != "") | (F.size("keywords") > 0)
-    return scored.filter(~asks_words | (F.col("lexical_score") > 0)).drop(
-        "wanted", "title_words", "keywords")
+        "query_id", "wanted",
+        search_terms(F.col("title_words")).alias("words"),
+        search_terms(F.col("keywords")).alias("terms"))
+    forms = texts.select(
+        "job_id", searchable(F.col("job_title")).alias("title"),
+        searchable_chunk(F.col("chunk_text")).alias("chunk"))
+    pairs = found.join(terms, "query_id").join(forms, "job_id")
+    score = lexical_score(
+        F.col("title"), F.col("chunk"), F.col("wanted"), F.col("words"), F.col("terms"))
+    asks_nothing = (F.col("wanted") == "") & (F.size("terms") == 0)
+    return pairs.select(
+        "query_id", "job_id", "vector_distance", "is_fallback",
+        scores_kept(score, asks_nothing).alias("lexical_score"),
+    ).filter(F.col("lexical_score").isNotNull())
 
 
 def rank_candidates(scored: DataFrame, k: int = RESULTS) -> DataFrame:
@@ -178,7 +193,10 @@ def hybrid_search(requests: DataFrame, docs: DataFrame, k: int = RESULTS,
     rows, scopes = [], []
     for part in request_blocks(requests, block_size):
         found = _chosen_candidates(docs, RequestBlock.collect(part, block_size), branch_size)
-        rows.append(rank_candidates(score_candidates(found, docs, part), k))
+        texts = candidate_texts(found, docs)
+        best = rank_candidates(score_candidates(found, texts, part), k)
+        rows.append(best.join(texts, "job_id").join(
+            part.select("query_id", "requested_location"), "query_id"))
         near = found.filter(~F.col("is_fallback")).select("query_id").distinct()
         far = part.filter(F.size("places") > 0).join(near, "query_id", "left_anti").select(
             "query_id", F.lit(True).alias("is_fallback"))

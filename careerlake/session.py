@@ -53,3 +53,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, removed when the work is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """Write a table and read it back: computed once, and safe against lost executors."""
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        from careerlake.sources import files
+
+        for path in self.paths:
+            files.delete(self.spark, path)

@@ -25,3 +25,9 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not system.exists(target):
         return []
     return [status.getPath().getName() for status in system.listStatus(target)]
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path."""
+    system, target = _open(spark, path)
+    return system.getContentSummary(target).getLength()

@@ -67,7 +67,67 @@ def _words(text: str, weight: str, source: str) -> str:
         GROUP BY word"""
 
 
+_TREEMAP = """
+        SELECT industry_name, category_name, jobs, CAST(r - 1 AS INT) AS shade FROM (
+          SELECT *, row_number() OVER (PARTITION BY industry_name
+                                       ORDER BY jobs DESC, category_name) AS r
+          FROM (SELECT industry_name, category_name, count(DISTINCT job_id) AS jobs FROM base
+                WHERE industry_name IS NOT NULL AND category_name IS NOT NULL GROUP BY 1, 2)
+          WHERE industry_name IN (
+            SELECT industry_name FROM (
+              SELECT industry_name, category_name, count(DISTINCT job_id) AS jobs FROM base
+              WHERE industry_name IS NOT NULL AND category_name IS NOT NULL GROUP BY 1, 2)
+            GROUP BY 1 ORDER BY sum(jobs) DESC, 1 LIMIT 5)) WHERE r <= 3"""
+
+_JSON_PARTS = {
+    "kpi": f"""SELECT {{'total_jobs': format('{{:,}}', total_jobs),
+        'total_companies': format('{{:,}}', total_companies),
+        'avg_salary': printf('%.1f', round(avg_salary / 1000000, 1)) || ' M',
+        'avg_exp': printf('%.1f', round(avg_experience, 1)) || ' Years'}} FROM ({_KPI})""",
+    "bar_skills": """SELECT list({'skill_name': skill_name, 'jobs': jobs} ORDER BY jobs DESC, skill_name)
+        FROM (SELECT skill_name, count(DISTINCT b.job_id) AS jobs FROM base b
+              JOIN sk ON b.job_id = sk.job_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""",
+    "pie_levels": """SELECT list({'job_level': job_level, 'jobs': jobs} ORDER BY jobs DESC, job_level)
+        FROM (SELECT job_level, count(DISTINCT job_id) AS jobs FROM base GROUP BY 1)""",
+    "bar_companies": """SELECT list({'company_name': company_name, 'jobs': jobs}
+          ORDER BY jobs DESC, company_name)
+        FROM (SELECT company_name, count(DISTINCT b.job_id) AS jobs
+              FROM base b JOIN co ON b.company_id = co.company_id
+              GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""",
+    "bar_salaries": """SELECT list({'category_name': category_name,
+          'avg_salary_millions': round(s / 1000000, 1)} ORDER BY s DESC, category_name)
+        FROM (SELECT category_name, avg(salary_numeric) AS s FROM base
+              WHERE salary_numeric > 0 AND category_name IS NOT NULL
+              GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""",
+    "mix_exp": """SELECT list({'years_of_experience': y, 'jobs': jobs,
+          'avg_salary_millions': round(s / 1000000, 1)} ORDER BY y)
+        FROM (SELECT years_of_experience AS y, avg(salary_numeric) AS s,
+                count(DISTINCT job_id) AS jobs
+              FROM base WHERE salary_numeric > 0 AND years_of_experience <= 10 GROUP BY 1)""",
+    "treemap": f"""SELECT list({{'industry_name': industry_name, 'category_name': category_name,
+          'jobs': jobs}} ORDER BY industry_name, shade) FROM ({_TREEMAP})""",
+    "pie_locations": """SELECT list({'location_name': location_name, 'jobs': jobs,
+          'share': CAST(round(100.0 * jobs / total) AS INT)} ORDER BY jobs DESC, location_name)
+        FROM (SELECT *, sum(jobs) OVER () AS total FROM (
+          SELECT location_name, count(DISTINCT b.job_id) AS jobs
+          FROM base b JOIN loc ON b.job_id = loc.job_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5))""",
+    "word_cloud": f"""SELECT list({{'key': upper(word[1]) || word[2:], 'value': n}}
+          ORDER BY n DESC, word)
+        FROM ({_words('job_requirements', '1', 'base WHERE job_requirements IS NOT NULL')}
+              ORDER BY n DESC, word LIMIT 50)""",
+    "table_data": """SELECT list({'title': title, 'salary': salary, 'company': company, 'desc': d,
+          'req': req, 'ben': ben, 'url': url} ORDER BY posted DESC NULLS FIRST, job_id)
+        FROM (SELECT f.job_id, max(posted_date) AS posted, coalesce(max(job_title), '') AS title,
+            coalesce(max(salary_text), '') AS salary, coalesce(max(company_name), '') AS company,
+            coalesce(max(job_description), '') AS d, coalesce(max(job_requirements), '') AS req,
+            coalesce(max(job_benefits), '') AS ben, coalesce(max(job_url), '') AS url
+          FROM fact f JOIN jd ON f.job_id = jd.job_id LEFT JOIN co ON f.company_id = co.company_id
+          GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 LIMIT 100)""",
+}
+
 ORACLE = {
+    "dashboard_json": with_star("SELECT CAST(to_json({" + ", ".join(
+        f"'{name}': ({sql})" for name, sql in _JSON_PARTS.items()) + "}) AS VARCHAR) AS document"),
     "kpi": with_star(_KPI),
     "kpi_unweighted": with_star("""SELECT count(*) AS total_jobs,
         count(DISTINCT company_id) AS total_companies,
@@ -101,17 +161,7 @@ ORACLE = {
         avg(nullif(salary_numeric, 0)) AS avg_salary, count(DISTINCT job_id) AS jobs,
         round(avg(nullif(salary_numeric, 0)) / 1000000, 1) AS avg_salary_millions
         FROM base WHERE salary_numeric > 0 AND years_of_experience <= 10 GROUP BY 1"""),
-    "treemap": with_star("""
-        SELECT industry_name, category_name, jobs, CAST(r - 1 AS INT) AS shade FROM (
-          SELECT *, row_number() OVER (PARTITION BY industry_name
-                                       ORDER BY jobs DESC, category_name) AS r
-          FROM (SELECT industry_name, category_name, count(DISTINCT job_id) AS jobs FROM base
-                WHERE industry_name IS NOT NULL AND category_name IS NOT NULL GROUP BY 1, 2)
-          WHERE industry_name IN (
-            SELECT industry_name FROM (
-              SELECT industry_name, category_name, count(DISTINCT job_id) AS jobs FROM base
-              WHERE industry_name IS NOT NULL AND category_name IS NOT NULL GROUP BY 1, 2)
-            GROUP BY 1 ORDER BY sum(jobs) DESC, 1 LIMIT 5)) WHERE r <= 3"""),
+    "treemap": with_star(_TREEMAP),
     "top_locations_share": with_star("""
         SELECT location_name, jobs, CAST(round(100.0 * jobs / sum(jobs) OVER ()) AS INT) AS share
         FROM (SELECT location_name, count(DISTINCT b.job_id) AS jobs

@@ -81,10 +81,6 @@ def intent_parse(spark, sf):
         F.upper(search.requested_label(F.col("intent.locations"))).alias("requested"))
 
 
-def _wanted_words(wanted: str):
-    return F.array(*[F.lit(w) for w in wanted.split()])
-
-
 _KEYWORDS = ["the", "widget", "tion", "re", "the"]
 
 
@@ -92,11 +88,15 @@ def lexical_score(spark, sf):
     """Points of every document for one request; documents without any are dropped."""
     titles = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), "p_name")
     docs = table(spark, sf, "documents").join(titles, "doc_id")
-    score = matching.lexical_score(
-        F.col("p_name"), F.col("text"), F.lit(_TITLE), _wanted_words(_TITLE),
-        F.array(*[F.lit(w) for w in _KEYWORDS]))
-    return docs.select("doc_id", score.cast("bigint").alias("lexical_score")).filter(
-        "lexical_score > 0")
+    forms = docs.select(
+        "doc_id", matching.searchable(F.col("p_name")).alias("title"),
+        matching.searchable_chunk(F.col("text")).alias("chunk"))
+    score = matching.once(F.struct("title", "chunk"), lambda t: matching.lexical_score(
+        t["title"], t["chunk"], F.lit(_TITLE), matching.literal_terms(_TITLE.split()),
+        matching.literal_terms(_KEYWORDS)))
+    kept = forms.select("doc_id", matching.scores_kept(score).alias("lexical_score"))
+    return kept.filter("lexical_score IS NOT NULL").select(
+        "doc_id", F.col("lexical_score").cast("bigint").alias("lexical_score"))
 
 
 def avg_tie_rank(spark, sf):
