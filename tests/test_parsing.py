@@ -1,0 +1,98 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from careerlake.functions import display, parsing, text
+from careerlake.functions.vectors import cosine_distance, vector_from_text, vector_to_text
+
+SALARIES = [
+    ("Thương lượng", 0, 0), ("Thương lượng 10 triệu", 0, 0),
+    ("10 - 20 triệu", 15_000_000, 15_000_000), ("10 triệu", 10_000_000, 10_000_000),
+    ("12.5 triệu", 8_750_000, 8_750_000), ("15tr-20tr", 17_500_000, 17_500_000),
+    ("$1,000 - $2,000", 37_500_000, 37_500_000), ("Từ 500 USD", 12_500_000, 12_500_000),
+    ("Up to 2000 USD", 50_000_000, 50_000_000),
+    ("15,000,000 - 20,000,000 VND", 17_500_000, 17_500_000),
+    ("15.000.000 - 20.000.000", 8, 8_000_000),
+    ("Trên 15,000,000 VND", 15_000_000_000_000, 0), ("240 triệu/năm", 20_000_000, 20_000_000),
+    ("1000 - 2000 (Ẩn)", 1500, 0), ("Từ 15", 15, 15_000_000), ("7 - 8", 8, 8_000_000),
+    ("600000000", 600_000_000, 0), ("500000000", 500_000_000, 500_000_000),
+    ("500000", 500_000, 500_000), ("499999", 499_999, 0),
+    ("abc", 0, 0), ("", 0, 0), (None, 0, 0),
+    ("99999999999999999999 triệu", 0, 0),
+]
+
+
+def test_salaries(spark):
+    df = spark.createDataFrame([(i, s[0]) for i, s in enumerate(SALARIES)], "i int, t string")
+    amount = parsing.salary_amount(F.col("t"))
+    rows = df.select("i", amount.alias("a"), parsing.plausible_salary(amount).alias("f")).collect()
+    assert [(SALARIES[r.i][0], r.a, r.f) for r in sorted(rows)] == SALARIES
+
+
+@pytest.mark.parametrize("written,expected", [
+    ("Không yêu cầu", 0), ("3 năm", 3), ("1 - 3 năm", 13), ("abc", 0), (None, 0),
+    ("99999999999 năm", 0),
+])
+def test_years(spark, written, expected):
+    df = spark.createDataFrame([(written,)], "t string")
+    assert df.select(parsing.years_required(F.col("t"))).first()[0] == expected
+
+
+def test_dates_keys_and_timestamps(spark):
+    df = spark.createDataFrame(
+        [("31/12/2025", "12", "2025-01-02 03:04:05"), ("1/3/2024", "12.0", ""),
+         ("2025-12-31", "", None), ("", "x1", "bad"), ("99/99/2020", None, "2025-01-02")],
+        "d string, k string, t string")
+    rows = df.select(parsing.any_date(F.col("d")), parsing.key_number(F.col("k")),
+                     parsing.timestamp_text(F.col("t"))).collect()
+    day = datetime.date
+    assert [r[0] for r in rows] == [day(2025, 12, 31), day(2024, 3, 1), day(2025, 12, 31), None, None]
+    assert [r[1] for r in rows] == [12, 12, None, None, None]
+    assert [r[2] for r in rows] == [
+        datetime.datetime(2025, 1, 2, 3, 4, 5), None, None, None, datetime.datetime(2025, 1, 2)]
+
+
+def test_text_cleaning(spark):
+    df = spark.createDataFrame([("Kỹ năng, (SQL) và Python!", "<p>a</p><b>c</b>", "null")],
+                               "n string, h string, z string")
+    row = df.select(text.normalize(F.col("n")), text.strip_tags(F.col("h")),
+                    text.scrub_null_tokens(F.col("z")),
+                    text.session_title(F.lit("one two  three four five six seven eight"))).first()
+    assert tuple(row) == ("kỹ năng sql python", "a  c", "", "one two three four five six...")
+
+
+def test_segmenter_joins_words_before_stop_words(spark):
+    df = spark.createDataFrame([("Các kỹ năng như nào",)], "t string")
+    joined = text.normalize(F.col("t"), ["các", "như nào"],
+                            lambda c: F.replace(c, F.lit("như nào"), F.lit("như_nào")))
+    assert df.select(joined).first()[0] == "kỹ năng"
+
+
+def test_cloud_tokens_keep_whole_ascii_words_only(spark):
+    df = spark.createDataFrame([("Python abcđ data <b>with</b> go java_script " + "x" * 21,)], "t string")
+    assert df.select(text.cloud_tokens(F.col("t"))).first()[0] == ["python", "data", "java_script"]
+
+
+def test_display(spark):
+    df = spark.createDataFrame([(1234567, 12_340_000.0, 2.25), (0, None, None)],
+                               "n long, s double, y double")
+    rows = df.select(display.count_label(F.col("n")), display.salary_label(F.col("s")),
+                     display.years_label(F.col("y"))).collect()
+    assert [tuple(r) for r in rows] == [("1,234,567", "12.3 M", "2.3 Years"), ("0", "N/A", "0 Years")]
+
+
+def test_font_size_of_equal_counts(spark):
+    df = spark.createDataFrame([(5, 5, 5), (1, 1, 3), (3, 1, 3)], "v int, lo int, hi int")
+    sizes = [r[0] for r in df.select(
+        display.font_size(F.col("v"), F.col("lo"), F.col("hi"))).collect()]
+    assert sizes == [40.0, 36.0, 80.0]
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 1.0], [2.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])],
+                               "a array<float>, b array<float>")
+    distances = [r[0] for r in df.select(cosine_distance(F.col("a"), F.col("b"))).collect()]
+    assert distances[0] == 1.0 and abs(distances[1]) < 1e-12 and distances[2] is None
+    codec = df.select(vector_to_text(F.col("a")).alias("t")).select("t", vector_from_text(F.col("t")))
+    assert tuple(codec.first()) == ("[1.0,0.0]", [1.0, 0.0])
