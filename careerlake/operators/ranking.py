@@ -21,18 +21,22 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
 
 
-def _ranged(df: DataFrame, order: Sequence[Column], slices: int) -> DataFrame:
-    """Rows cut into ordered slices; the cut is written down, so it cannot change."""
+def _ranged(df: DataFrame, order: Sequence[Column], slices: int | None) -> DataFrame:
+    """Rows cut into ordered slices; the cut is written down, so it cannot change.
+
+    Without a number given there are as many slices as shuffle partitions.
+    """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(slices, *order)
     return checkpointed(cut.withColumn("_slice", F.spark_partition_id()))
 
 
 def _running_total(df: DataFrame, order: Sequence[Column], weight: Column,
-                   out: str, slices: int) -> DataFrame:
+                   out: str, slices: int | None) -> DataFrame:
     """Sum of ``weight`` over all rows that come earlier in the order."""
     ranged = _ranged(df, order, slices).withColumn("_weight", weight.cast("bigint"))
     totals = ranged.groupBy("_slice").agg(F.sum("_weight").alias("_total"))
-    # One row per slice: at most ``slices`` rows, whatever the table holds.
+    # One row per slice, so as few rows as there are slices, whatever the table holds.
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_slice",
@@ -52,7 +56,7 @@ def _running_total(df: DataFrame, order: Sequence[Column], weight: Column,
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], out: str = "row_number",
-                slices: int = 64) -> DataFrame:
+                slices: int | None = None) -> DataFrame:
     """Dense numbers 1, 2, 3 ... over the whole table without a one-task window.
 
     The order should leave no ties among many rows, as equal rows share a slice.
@@ -62,7 +66,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], out: str = "row_number",
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), ascending: bool = True,
-                 out: str = "rank", slices: int = 64) -> DataFrame:
+                 out: str = "rank", slices: int | None = None) -> DataFrame:
     """Rank in which equal values share the mean of their positions.
 
     Rows are first counted per value, so neither a hot value nor a hot group is

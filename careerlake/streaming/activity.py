@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from careerlake.operators.merge import upsert_rows
-from careerlake.sources import files
-
 
 def last_activity(messages: DataFrame, session: str, at: str) -> DataFrame:
     """Latest message time per session, for a table or a stream (I4)."""
@@ -18,18 +15,14 @@ def last_activity(messages: DataFrame, session: str, at: str) -> DataFrame:
 
 def start_activity_table(stream: DataFrame, session: str, at: str, folder: str, checkpoint: str
                          ) -> StreamingQuery:
-    """Keep a table of last activities below ``folder``, one version per batch.
+    """Keep the last activities below ``folder``.
 
-    Batches deliver the changed sessions only; each version is written beside the last.
+    A batch adds only the sessions it changed, in a folder of its own, so its cost
+    follows the new messages and a repeated batch replaces itself.
     """
-    spark = stream.sparkSession
 
     def keep(changed: DataFrame, batch_id: int) -> None:
-        previous = f"{folder}/v={batch_id - 1}"
-        table = changed
-        if batch_id and files.exists(spark, previous):
-            table = upsert_rows(spark.read.parquet(previous), changed, [session])
-        table.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return (
         last_activity(stream, session, at).writeStream.outputMode("update")
@@ -38,7 +31,7 @@ def start_activity_table(stream: DataFrame, session: str, at: str, folder: str,
     )
 
 
-def latest_activity(spark, folder: str) -> DataFrame:
-    """Newest complete version of the activity table."""
-    versions = sorted(int(n.removeprefix("v=")) for n in files.child_names(spark, folder))
-    return spark.read.parquet(f"{folder}/v={versions[-1]}")
+def latest_activity(spark: SparkSession, session: str, folder: str) -> DataFrame:
+    """Current state of every session; both values only ever grow."""
+    return spark.read.parquet(folder).groupBy(session).agg(
+        F.max("updated_at").alias("updated_at"), F.max("messages").alias("messages"))
