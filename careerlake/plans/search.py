@@ -162,7 +162,11 @@ def score_candidates(found: DataFrame, texts: DataFrame, requests: DataFrame) ->
     forms = texts.select(
         "job_id", searchable(F.col("job_title")).alias("title"),
         searchable_chunk(F.col("chunk_text")).alias("chunk"))
-    pairs = found.join(terms, "query_id").join(forms, "job_id")
+    # Scoring costs time rather than bytes: keep all partitions instead of letting the
+    # small rows be gathered into a few.
+    spread = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = found.join(terms, "query_id").repartition(spread, "job_id")
+    pairs = asked.join(forms, "job_id")
     score = lexical_score(
         F.col("title"), F.col("chunk"), F.col("wanted"), F.col("words"), F.col("terms"))
     asks_nothing = (F.col("wanted") == "") & (F.size("terms") == 0)
@@ -191,7 +195,8 @@ def hybrid_search(requests: DataFrame, docs: DataFrame, k: int = RESULTS,
     documents once for candidates and once, by candidate id, for their texts.
     """
     rows, scopes = [], []
-    for part in request_blocks(requests, block_size):
+    # Requests are read for counting, terms, scores and scopes; embed them once.
+    for part in request_blocks(checkpointed(requests), block_size):
         found = _chosen_candidates(docs, RequestBlock.collect(part, block_size), branch_size)
         texts = candidate_texts(found, docs)
         best = rank_candidates(score_candidates(found, texts, part), k)
