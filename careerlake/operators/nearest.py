@@ -54,7 +54,8 @@ class RequestBlock:
             raise ValueError(f"more than {limit} requests: search them block by block")
         return cls(
             [r.query_id for r in rows],
-            np.array([r.embedding for r in rows], dtype=np.float64),
+            np.array([r.embedding for r in rows], dtype=np.float64).reshape(
+                len(rows), len(rows[0].embedding) if rows else 1),
             [list(r.places or []) for r in rows],
             [list(r.title_words or []) for r in rows],
         )
@@ -139,7 +140,7 @@ def local_candidates(docs: DataFrame, block: RequestBlock, size: int = BRANCH_SI
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
         for batch in batches:
-            if batch.num_rows == 0:
+            if batch.num_rows == 0 or not ids_of:
                 continue
             ids = batch.column("job_id").to_numpy(zero_copy_only=False)
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)

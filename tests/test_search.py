@@ -152,6 +152,14 @@ def test_too_many_requests_are_refused_for_one_block(spark):
         RequestBlock.collect(prepared(spark), 3)
 
 
+def test_no_requests_and_no_documents(spark):
+    docs, asked = spark.createDataFrame(DOCS, DOC_SCHEMA), prepared(spark)
+    nothing = search.hybrid_search(asked.filter("query_id < 0"), docs)
+    assert nothing.rows.isEmpty() and nothing.scopes.isEmpty()
+    empty = search.hybrid_search(asked, docs.filter("job_id < 0"))
+    assert empty.rows.isEmpty() and empty.scopes.count() == len(REQUESTS)
+
+
 def test_lexical_score_examples(spark):
     rows = [("Senior Data Engineer", "x data engineer y", 15200), ("Engineer, Data", "x ai y", 5210),
             ("Analyst", "data engineer said", 1020), ("Cook", "kitchen", 0)]
