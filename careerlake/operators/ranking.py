@@ -24,10 +24,10 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 def _ranged(df: DataFrame, order: Sequence[Column], slices: int | None) -> DataFrame:
     """Rows cut into ordered slices; the cut is written down, so it cannot change.
 
-    Without a number given there are as many slices as shuffle partitions.
+    Without a number given there are at most as many slices as shuffle partitions; AQE
+    joins neighbouring small ones.
     """
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(slices, *order)
+    cut = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
     return checkpointed(cut.withColumn("_slice", F.spark_partition_id()))
 
 

@@ -15,6 +15,7 @@ from careerlake.functions.matching import (
 )
 from careerlake.functions.text import clip, normalize_query
 from careerlake.functions.vectors import cosine_distance
+from careerlake.model import Star
 from careerlake.operators.embed import embed_hashed
 from careerlake.operators.nearest import (
     BLOCK_SIZE, BRANCH_SIZE, RequestBlock, candidates, request_blocks,
@@ -37,6 +38,18 @@ DOCUMENT_COLUMNS = [
 ]
 
 
+def search_documents(star: Star, vectors: DataFrame) -> DataFrame:
+    """Vectorized jobs with what a search shows of them.
+
+    Company names join narrow fact rows; vectors and texts move once, by job.
+    """
+    owners = star.fact_job_postings.select("job_id", "company_id").join(
+        star.dim_companies.select("company_id", "company_name"), "company_id")
+    shown = star.dim_job_details.select("job_id", "job_title", "salary_text", "job_url")
+    rows = vectors.join(shown, "job_id").join(owners, "job_id")
+    return rows.select(*DOCUMENT_COLUMNS)
+
+
 def strip_space(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from careerlake.model import Star
+from careerlake.plans import search
 
 BASE_URL = "https://jobs.example.com"
 
@@ -57,8 +58,9 @@ def fact(spark, sf) -> DataFrame:
         F.col("o_orderdate").cast("timestamp_ntz").alias("crawled_at"))
 
 
-def details(spark, sf, texts: bool = False, expiry: bool = False) -> DataFrame:
-    """Job details; long texts and expiry dates only where a query asks for them."""
+def details(spark, sf, texts: bool = False, expiry: bool = False, titles: bool = False
+            ) -> DataFrame:
+    """Job details; titles, long texts and expiry dates only where a query asks for them."""
     key = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(
         key.alias("job_id"), F.col("o_orderpriority").alias("job_level"),
@@ -76,15 +78,18 @@ def details(spark, sf, texts: bool = False, expiry: bool = False) -> DataFrame:
         rows = rows.join(shipped, "job_id", "left")
     else:
         rows = rows.withColumn("expiry_date", F.lit(None).cast("date"))
+    empty = F.lit(None).cast("string")
+    if titles or texts:
+        part = table(spark, sf, "part").select(F.col("p_partkey").alias("job_id"), "p_name")
+        rows = rows.join(part, "job_id", "left").withColumn(
+            "job_title", F.coalesce("p_name", "job_level")).drop("p_name")
+    else:
+        rows = rows.withColumn("job_title", empty)
     if not texts:
-        empty = F.lit(None).cast("string")
-        return rows.withColumn("job_title", empty).withColumn("job_requirements", empty)
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("job_id"), "p_name")
+        return rows.withColumn("job_requirements", empty)
     documents = table(spark, sf, "documents").select(
         F.col("doc_id").alias("job_id"), F.col("text").alias("job_requirements"))
-    return (
-        rows.join(part, "job_id", "left").join(documents, "job_id", "left")
-        .withColumn("job_title", F.coalesce("p_name", "job_level")).drop("p_name"))
+    return rows.join(documents, "job_id", "left")
 
 
 def _items(spark, sf, name: str, out: str) -> DataFrame:
@@ -100,11 +105,11 @@ def locations(spark, sf) -> DataFrame:
         F.col("l_orderkey").alias("job_id"), F.col("n_name").alias("location_name")).distinct()
 
 
-def star(spark, sf, texts: bool = False, expiry: bool = False) -> Star:
+def star(spark, sf, texts: bool = False, expiry: bool = False, titles: bool = False) -> Star:
     empty = F.lit(None).cast("string")
     return Star(
         fact_job_postings=fact(spark, sf),
-        dim_job_details=details(spark, sf, texts, expiry),
+        dim_job_details=details(spark, sf, texts, expiry, titles),
         dim_companies=table(spark, sf, "customer").select(
             F.col("c_custkey").alias("company_id"), F.col("c_name").alias("company_name"),
             F.col("c_mktsegment").alias("description"), empty.alias("logo_url"),
@@ -227,19 +232,10 @@ def job_documents(spark, sf) -> DataFrame:
 
 def search_documents(spark, sf) -> DataFrame:
     """Every document that has a vector, as a vectorized job."""
-    key = F.col("job_id")
     documents = table(spark, sf, "documents").select(
         F.col("doc_id").alias("job_id"), F.col("text").alias("chunk_text"))
     stored = table(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
-    titles = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("job_id"), F.col("p_name").alias("job_title"))
-    owners = table(spark, sf, "orders").join(
-        table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("job_id"), F.col("c_name").alias("company_name"))
-    return documents.join(stored, "job_id").join(titles, "job_id").join(owners, "job_id").select(
-        "job_id", "job_title", "company_name", pick(SALARY_TEXTS, key).alias("salary_text"),
-        F.concat(F.lit(BASE_URL + "/"), key.cast("string"), F.lit("-jv")).alias("job_url"),
-        "chunk_text", "embedding")
+    return search.search_documents(star(spark, sf, titles=True), documents.join(stored, "job_id"))
 
 
 def centroids(spark, sf) -> DataFrame:
