@@ -73,7 +73,7 @@ def dq_repeats(spark, sf):
 
 
 def dq_orphans(spark, sf):
-    """The reference rule: orders without any line."""
+    """The foreign-key rule: orders without any line."""
     return quality.orphan_rows(table(spark, sf, "orders"), "o_orderkey",
                                table(spark, sf, "lineitem"), "l_orderkey")
 
