@@ -14,12 +14,12 @@ MODULES = [dashboard, cleaning, merging, searching, chatting, loading]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _tuned(query: Query) -> Query:
+def tuned(query: Query) -> Query:
     return lambda spark, sf: query(tune(spark), sf.rstrip("/"))
 
 
 def queries() -> dict[str, Query]:
-    return {name: _tuned(q) for module in MODULES for name, q in module.QUERIES.items()}
+    return {name: tuned(q) for module in MODULES for name, q in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
