@@ -2,11 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from careerlake.llm import quality
+from careerlake.llm import bpe, contamination, grading, pii, quality, secrets, sharding, simhash, urls, warc
 from careerlake.llm.common import table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _count_of(spans: str, kind: int | str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    _, records = warc.archived(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents"), VOCABULARY, ids=False)
+
+
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    base, added = pii.detect(table(spark, folder, "documents"))
+    counts = [_count_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
+    return base.join(added, "key", "left").select(
+        "doc_id", *counts, F.sha2(pii.described(F.col("base")), 256).alias("base_sha256"),
+        pii.described(pii.merged(F.col("base"), F.col("added"))).alias("spans"),
+    )
+
+
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scanned(table(spark, folder, "documents"))
+
+    def described(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    counts = [_count_of("spans", kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    base = F.filter("spans", lambda s: s.kind.isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *counts, F.sha2(described(base), 256).alias("base_sha256"), described(F.col("spans")).alias("spans")
+    )
+
+
+def op5_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    hits = contamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return hits.select("doc_id", "item_id", "shared", "item_shingles", "containment")
+
 
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -21,9 +66,71 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_quality": op6_quality}
+def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    return sharding.shuffled(rows, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
+def op9_grades(spark: SparkSession, folder: str) -> DataFrame:
+    """Grade 2: good and clean; 1: one of both; 0: neither. Kept if grade 2 is likelier than not."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    grades = table(spark, folder, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    scored = grading.graded(docs, grading.train(docs, grades, top=2))
+    return scored.select(
+        "doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_1", 6).alias("tail_1"),
+        F.round("tail_2", 6).alias("tail_2"), (F.col("tail_2") > 0.5).alias("kept"),
+    )
+
+
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_warc, op2_bpe, op3_pii, op4_secrets, op5_contamination, op6_quality, op7_shards, op8_urls,
+        op9_grades, op10_simhash,
+    )
+}
 
 ORACLE = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') body FROM pages),
+d AS (SELECT page_id, strlen(body) payload_bytes, sha1(body) hex, max(page_id) OVER (PARTITION BY body) last FROM p),
+parts AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) fives FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) payload_bytes,
+       array_to_string(list_transform(fives, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INT) + 1, 1)), '')), '') payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END record_type,
+       CASE WHEN page_id <> last THEN last END refers_to
+FROM parts""",
+    "op5_contamination": r"""
+WITH words AS (SELECT 'd' kind, doc_id id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws FROM documents
+               UNION ALL
+               SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+shingles AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i+4], ' ') s
+             FROM words, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) r(i) WHERE len(ws) > 0),
+sizes AS (SELECT id, count(*) n FROM shingles WHERE kind = 'i' GROUP BY 1),
+shared AS (SELECT d.id doc_id, i.id item_id, count(*) shared
+           FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+SELECT doc_id, item_id, shared, n item_shingles, shared / n containment
+FROM shared JOIN sizes ON item_id = id WHERE shared >= ceil(0.8 * n)""",
     "op6_quality": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws
            FROM documents),
@@ -33,10 +140,10 @@ covered AS (SELECT doc_id, sum(least(8, coalesce(following - i, 8))) n FROM (
     SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) following FROM twice) GROUP BY 1),
 m AS (SELECT w.doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) ls,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls,
              coalesce(n, 0) n_repeat_words,
              len(regexp_extract_all(array_to_string(ws, ''), '[A-ZÀ-Þ]')) n_upper,
-             len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) n_repeat_next
+             len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) n_repeat_next
       FROM w LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, len(ls) - len(list_distinct(ls)) n_dup_lines,
              CASE WHEN n_words < 20 THEN 1 ELSE 0 END
