@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import fresh, let, positions, written
+from careerlake.llm.common import fresh, let, positions, row_key, written
 
 SHINGLE = 5
 SHARE = 0.8
@@ -96,11 +96,6 @@ def _signatures_needed(size: Column, share: float) -> Column:
     return F.ceil(F.lit(math.log(MISS) / math.log(LOSS)) / (F.ceil(size * share))).cast("int")
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Names a row by its id and text, so that repeated or missing ids do no harm."""
-    return F.xxhash64(doc_id, text)
-
-
 def find(
     docs: DataFrame, items: DataFrame, share: float = SHARE,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import fresh, let, positions, written
+from careerlake.llm.common import fresh, let, positions, row_key, written
 
 # Possessive quantifiers and the look-behinds change no match; they keep runs of any length linear.
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -166,11 +166,6 @@ def _mentions(text: Column, base: Column) -> Column:
     )))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Names a row by its id and text, so that repeated or missing ids do no harm."""
-    return F.xxhash64(doc_id, text)
-
-
 def term_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """``term, places`` over all texts; added up before the shuffle."""
     runs = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from careerlake.llm.common import written
+from careerlake.llm.common import fresh, row_key, written
 from careerlake.llm.components import components
 
 SHINGLE = 3
@@ -188,18 +188,44 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``.
+    """``key, doc_id, fp, root, component_id`` for every row of ``docs``.
 
-    Texts are read once and never shuffled; the rest works on fingerprints.
+    ``key`` names a row by id and text, ``root`` a group by one of its fingerprints. Texts are read
+    once and never shuffled; the rest works on fingerprints.
     """
-    marked = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "prints")
+    marked = written(docs.select(
+        row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"),
+        fingerprint(F.col(text)).alias("fp"),
+    ), "prints")
     prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(links(prints))
     linked = written(prints.join(roots, prints.fp == roots.node).select("fp", "root", "least_id"), "linked")
     named = written(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
-    named_prints = linked.join(named, "root").select("fp", "component_id")
+    named_prints = linked.join(named, "root").select("fp", "root", "component_id", F.lit(True).alias("linked"))
     resolved = written(
-        prints.join(named_prints, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")),
+        prints.join(named_prints, "fp", "left").select(
+            "fp", F.coalesce("root", "fp").alias("root"),
+            F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"),
+        ),
         "resolved",
     )
-    return marked.join(resolved, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(resolved, "fp").select("key", "doc_id", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that with the least id, ids that are null last.
+
+    The choice is an aggregate over narrow rows. Rows that repeat id and text are one.
+    """
+    found = near_duplicates(docs, doc_id, text)
+    chosen = written(
+        found.groupBy("root").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
+        ).select("first.key"),
+        "chosen",
+    )
+    name = fresh(docs, "row_key")
+    kept = docs.withColumn(name, row_key(docs[doc_id], docs[text])).join(
+        chosen.withColumnRenamed("key", name), name, "left_semi"
+    )
+    return kept.dropDuplicates([name]).drop(name)
