@@ -52,21 +52,6 @@ def _payload(html: Column) -> Column:
     return F.coalesce(html, F.lit("")).cast("binary")
 
 
-def dictionary(pages: DataFrame, payload: str = "html", samples: int = SAMPLES) -> bytes:
-    """A dictionary from the heads of a bounded sample of records, chosen by hash."""
-    rows = (
-        pages.select(F.substring(_payload(F.col(payload)), 1, SAMPLE_BYTES).alias("head"))
-        .filter(F.length("head") > 0).orderBy(F.xxhash64("head"), "head").limit(samples).collect()
-    )
-    heads = [bytes(r["head"]) for r in rows]
-    if not heads:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, heads).as_bytes()
-    except zstandard.ZstdError:  # too few or too uniform records to train on: their own bytes serve
-        return b"".join(heads)[-DICTIONARY_BYTES:]
-
-
 def _zstd_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
@@ -119,6 +104,29 @@ def _record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
 
+def dictionary(pages: DataFrame, payload: str = "html", samples: int = SAMPLES) -> bytes:
+    """A dictionary from a bounded sample of records, chosen by hash: their heads, the beginnings
+    of their payloads, and for some the head of a revisit."""
+    body = _payload(F.col(payload))
+    rows = (
+        pages.select(
+            "page_id", "url", F.sha1(body).alias("digest"), F.length(body).cast("long").alias("size"),
+            F.substring(body, 1, SAMPLE_BYTES).alias("body"),
+        ).orderBy(F.xxhash64("digest", "url"), "page_id").limit(samples).collect()
+    )
+    heads = []
+    for n, row in enumerate(rows):
+        heads.append(_record(row.asDict() | {"revisit": False, "body": bytes(row["body"])}))
+        if n % 4 == 0:
+            heads.append(_record(row.asDict() | {"revisit": True, "refers_to": row["page_id"]}))
+    if not heads:
+        return b""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, heads).as_bytes()
+    except zstandard.ZstdError:  # too few or too uniform records to train on: their own bytes serve
+        return b"".join(heads)[-DICTIONARY_BYTES:]
+
+
 def write(pages: DataFrame, folder: str, payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """Archive every page below ``folder``; returns ``archive, offset, length, page_id`` per record."""
     spark = pages.sparkSession
