@@ -47,6 +47,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def sampled(df: DataFrame, wanted: int, total: int, seed: int = 7) -> DataFrame:
+    """About ``wanted`` of the ``total`` rows, each drawn by itself: no task sends more than its
+    share, and rows that are equal are drawn one by one."""
+    return df if total <= wanted else df.filter(F.rand(seed) < wanted / total)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

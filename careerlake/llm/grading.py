@@ -6,53 +6,62 @@ One weight per hash bucket is shared by all grades, and ordered thresholds cut t
 
 A text's buckets are those of its distinct lower-cased words and of a few coarse measures (length,
 shares of symbols, capitals, different words and repeats), each counted once. Fitting minimises
-the likelihood with an L2 penalty. It runs on a bounded sample of labelled rows, ``SAMPLE`` of
-them, chosen by a hash of the id; every document is scored, in the JVM, with no shuffle.
+the likelihood with an L2 penalty, over buckets whose documents differ from the rest in mean grade:
+most words tell nothing, and their weights would only learn the sample by heart. Fitting takes a
+random sample of about ``SAMPLE`` labelled rows; every document is scored, in Arrow batches and
+without a shuffle.
 
 Null and empty texts have the buckets of their measures alone. Labels without a document, or
-without a grade, are not used; without any label all documents get the lowest grade's uniform
-guess, that is score 0 and equal thresholds spacing. Repeated rows get the same grade each.
+without a grade, are not used; without any label all weights are zero and thresholds are 0, 1, ...
+Repeated rows get the same grade each.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from careerlake.llm.common import fresh, let, positions, words, written
+from careerlake.llm.common import fresh, sampled, written
 
-BUCKETS = 1 << 14
-SAMPLE = 6000
+BUCKETS = 1 << 18
+SAMPLE = 6000  # rated documents
 ROUNDS = 200
-PENALTY = 2e-4
-
-
-def buckets(text: Column) -> Column:
-    """Distinct hash buckets of a text's words and measures."""
-
-    def of(t: Column) -> Column:
-        def measured(w: Column) -> Column:
-            n = F.greatest(F.size(w), F.lit(1))
-            letters = F.greatest(F.length(t), F.lit(1))
-            repeats = F.size(F.filter(positions(F.size(w)), lambda i: F.coalesce(F.get(w, i - 1) == F.get(w, i), F.lit(False))))
-            marks = {
-                "length": F.floor(F.log2(n)),
-                "symbols": F.floor((F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))) * 10 / n),
-                "capitals": F.floor((letters - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))) * 10 / letters),
-                "different": F.floor(F.size(F.array_distinct(w)) * 10 / n),
-                "repeats": F.floor(repeats * 10 / n),
-            }
-            return F.array(*[F.concat(F.lit(f"{name} "), F.least(value, F.lit(20)).cast("string")) for name, value in marks.items()])
-
-        plain = F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), "")
-        return F.array_distinct(F.transform(
-            F.concat(plain, let(words(t), measured)), lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
-        ))
+PENALTY = 1e-4
+LEAST_DOCS = 5  # of the sample; buckets in fewer have no weight
+SCREEN = 5.0  # standard errors by which a bucket's mean grade must differ to have a weight
+
+
+_WORD = re.compile(r"[^\W_]+")
+_SYMBOLS = re.compile(r"[#*$%&|<>]")
+_CAPITALS = re.compile(r"[A-ZÀ-Þ]+")
+
+
+def buckets_of(text: str | None) -> np.ndarray:
+    """Distinct hash buckets of a text's words and measures, in order."""
+    text = text or ""
+    parts = text.split()
+    n, size = max(len(parts), 1), max(len(text), 1)
+    marks = {
+        "length": n.bit_length(),
+        "symbols": 10 * len(_SYMBOLS.findall(text)) // n,
+        "capitals": 10 * sum(map(len, _CAPITALS.findall(text))) // size,
+        "different": 10 * len(set(parts)) // n,
+        "repeats": 10 * sum(map(str.__eq__, parts, parts[1:])) // n,
+    }
+    terms = set(_WORD.findall(text.lower())) | {f"{name} {min(value, 20)}" for name, value in marks.items()}
+    return np.unique(np.array([xxhash.xxh32_intdigest(t) % BUCKETS for t in terms], np.int32))
 
-    return let(F.coalesce(text, F.lit("")), of)
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def buckets(texts: pd.Series) -> pd.Series:
+    return pd.Series([buckets_of(t) for t in texts])
 
 
 @dataclass(frozen=True)
@@ -63,9 +72,13 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def score(self, text: Column) -> Column:
-        weights = F.split(F.lit(",".join(f"{w:.6g}" for w in self.weights)), ",").cast("array<double>")
-        return let(buckets(text), lambda found: F.aggregate(
-            found, F.lit(0.0), lambda total, b: total + F.get(weights, b)))
+        weights = self.weights
+
+        @F.pandas_udf(DoubleType())
+        def total(texts: pd.Series) -> pd.Series:
+            return pd.Series([weights[buckets_of(t)].sum() for t in texts], dtype="float64")
+
+        return total(text)
 
     def tails(self, score: Column) -> list[Column]:
         """P(grade > k) for k = 0 .. K - 1."""
@@ -78,38 +91,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(index: np.ndarray, lengths: np.ndarray, grades: np.ndarray, top: int) -> OrdinalModel:
     """Full-batch Adam on the penalised likelihood; thresholds are a first one and positive gaps."""
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
     n = len(grades)
+    rows = np.repeat(np.arange(n), lengths)
+    docs = np.bincount(index, minlength=BUCKETS)
+    excess = np.bincount(index, weights=(grades - grades.mean())[rows], minlength=BUCKETS)
+    errors = np.abs(excess) / np.sqrt(np.maximum(docs, 1) * max(grades.var(), 1e-9))
+    telling = (docs >= LEAST_DOCS) & (errors >= SCREEN)
+    buckets_in_use = np.flatnonzero(telling)
+    rows, index = rows[telling[index]], np.searchsorted(buckets_in_use, index[telling[index]])
+    width = len(buckets_in_use)
     shares = np.clip(np.cumsum(np.bincount(grades, minlength=top + 1))[:-1] / n, 0.02, 0.98)
     cuts = np.log(shares / (1 - shares))
-    free = np.concatenate((cuts[:1], np.log(np.maximum(np.diff(cuts), 0.1))))
-    params = np.concatenate((np.zeros(BUCKETS), free))
+    params = np.concatenate((np.zeros(width), cuts[:1], np.log(np.maximum(np.diff(cuts), 0.1))))
+
+    def ordered(free: np.ndarray) -> np.ndarray:
+        return np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:]))))
+
     first, second = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, ROUNDS + 1):
-        weights, free = params[:BUCKETS], params[BUCKETS:]
-        gaps = np.exp(free[1:])
-        thresholds = np.concatenate((free[:1], free[0] + np.cumsum(gaps)))
-        score = np.add.reduceat(np.append(weights[index], 0.0), starts)
-        edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
+        weights, free = params[:width], params[width:]
+        score = np.bincount(rows, weights=weights[index], minlength=n)
+        edges = np.concatenate(([-np.inf], ordered(free), [np.inf]))
         upper, lower = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
         chance = np.maximum(upper - lower, 1e-9)
         slope_up, slope_low = upper * (1 - upper) / chance, lower * (1 - lower) / chance
         d_score = slope_up - slope_low  # of the negative log likelihood
-        d_cut = np.zeros(top)
-        np.add.at(d_cut, np.minimum(grades, top - 1), np.where(grades < top, -slope_up, 0))
-        np.add.at(d_cut, np.maximum(grades - 1, 0), np.where(grades > 0, slope_low, 0))
-        tail_sums = np.cumsum(d_cut[::-1])[::-1]
+        d_cut = np.bincount(np.minimum(grades, top - 1), np.where(grades < top, -slope_up, 0), top)
+        d_cut += np.bincount(np.maximum(grades - 1, 0), np.where(grades > 0, slope_low, 0), top)
+        tail_sums = np.cumsum(d_cut[::-1])[::-1] / n
         slope = np.concatenate((
-            np.bincount(index, weights=np.repeat(d_score, lengths), minlength=BUCKETS) / n + PENALTY * weights,
-            tail_sums[:1] / n, tail_sums[1:] * gaps / n,
+            np.bincount(index, weights=d_score[rows], minlength=width) / n + PENALTY * weights,
+            tail_sums[:1], tail_sums[1:] * np.exp(free[1:]),
         ))
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         rate = 0.1 * (1 - step / (ROUNDS + 1))
         params -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    free = params[BUCKETS:]
-    return OrdinalModel(params[:BUCKETS], np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:])))))
+    weights = np.zeros(BUCKETS)
+    weights[buckets_in_use] = params[:width]
+    return OrdinalModel(weights, ordered(params[width:]))
 
 
 def train(
@@ -121,15 +141,14 @@ def train(
     The sample is taken from the narrow table of grades, so only its documents' texts are read on,
     and the planner can broadcast it.
     """
-    chosen = written(
-        grades.select(F.col(doc_id).alias("doc_id"), F.col(grade).cast("int").alias("grade"))
-        .filter(F.col("grade").between(0, top) & F.col("doc_id").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample),
-        "graded",
+    known = grades.select(F.col(doc_id).alias("doc_id"), F.col(grade).cast("int").alias("grade")).filter(
+        F.col("grade").between(0, top) & F.col("doc_id").isNotNull()
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").select(
-        "doc_id", "grade", buckets(F.col("text")).alias("found")
-    ).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample).toArrow()
+    chosen = written(sampled(known, sample, known.count()), "graded")
+    # One row per id, however often it repeats; texts are looked at after that.
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").groupBy(
+        "doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
+    rows = texts.select("doc_id", "grade", buckets(F.col("text")).alias("found")).orderBy("doc_id").toArrow()
     if not rows.num_rows:
         return OrdinalModel(np.zeros(BUCKETS), np.arange(top, dtype=float))
     found = rows.column("found").combine_chunks()

@@ -85,9 +85,11 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_grades(spark: SparkSession, folder: str) -> DataFrame:
-    """Grade 2: good and clean; 1: one of both; 0: neither. Kept if grade 2 is likelier than not."""
+    """Grade 0: toxic; 1: of low quality; 2: good. Kept if grade 2 is likelier than not."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    grades = table(spark, folder, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    grades = table(spark, folder, "labels").select(
+        "doc_id", F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality")).alias("grade")
+    )
     scored = grading.graded(docs, grading.train(docs, grades, top=2))
     return scored.select(
         "doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_1", 6).alias("tail_1"),

@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import fresh, let, positions, written
+from careerlake.llm.common import fresh, let, positions, sampled, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -162,8 +162,8 @@ def train(
 ) -> UrlModel:
     """Fit the filter on labelled URLs (1: block, 0: allow).
 
-    Suffix statistics are over all labelled URLs. The trees see at most ``sample`` of them, those
-    with the least hash of URL and seed: a bounded sample that does not depend on their order.
+    Suffix statistics are over all labelled URLs. The trees see a random sample of about ``sample``
+    of them, as the bound on what one fit reads.
     """
     known = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).filter("label is not null")
     known = written(known.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))), "labelled")
@@ -179,7 +179,7 @@ def train(
     )
     if overall in (0.0, 1.0):
         return UrlModel(None, shares, overall)
-    chosen = written(known.orderBy(F.xxhash64("url", F.lit(seed)), "url", "label").limit(sample), "sample")
+    chosen = written(sampled(known, sample, seen[0], seed), "sample")
     wide = _with_shares(features(chosen, "url", "host", "path", "f_"), shares, overall, "host", "f_")
     ready = written(
         VectorAssembler(inputCols=["f_" + f for f in FEATURES], outputCol="features").transform(wide).select("features", "label"),
