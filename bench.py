@@ -23,7 +23,8 @@ HEADLINE = [
     "flatten_docs", "bridge_rows", "surrogate_keys", "dedupe_latest", "insert_if_absent",
     "partial_upsert", "wide_rows", "chunk_text", "embed_text", "cosine_topk", "lexical_score",
     "avg_tie_rank", "hybrid_search", "last_turns", "prompt_messages", "dq_report",
-    "session_activity",
+    "session_activity", "dashboard_json", "incremental_load", "extract_load", "prompt_table",
+    "rag_context",
 ]
 
 
@@ -38,6 +39,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careerlake.functions.wordlists import CHUNK_STOP_WORDS, WORD_CLOUD_STOP_WORDS
+from careerlake.functions.wordlists import CHUNK_STOP_WORDS
 
 # Cells that mean "no value" in an extract.
 NULL_TOKENS = ["nan", "None", "null"]
@@ -73,14 +73,20 @@ def normalize(
     return F.coalesce(F.array_join(words, " "), F.lit(""))
 
 
-def normalize_query(c: Column, segment: Callable[[Column], Column] | None = None) -> Column:
-    """Query text is lower-cased (and segmented) only."""
-    low = F.coalesce(F.lower(c), F.lit(""))
-    return segment(low) if segment is not None else low
+def normalize_query(
+    c: Column,
+    stop_words: Sequence[str] = CHUNK_STOP_WORDS,
+    segment: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Query text goes through the normalizer of the chunks, so the two are comparable."""
+    return normalize(c, stop_words, segment)
+
 
+def cloud_tokens(c: Column, stop_words: Sequence[str]) -> Column:
+    """Words of four to twenty ASCII letters that are no stop words.
 
-def cloud_tokens(c: Column, stop_words: Sequence[str] = WORD_CLOUD_STOP_WORDS) -> Column:
-    """Words of four to twenty ASCII letters that are no stop words."""
+    The list is the site's own and always given; none is built in.
+    """
     low = F.lower(F.regexp_replace(c, FILLED_TAG, " "))
     found = F.regexp_extract_all(low, F.lit(WORD_CLOUD_TOKEN), F.lit(0))
     return F.filter(found, lambda w: (F.length(w) > 3) & ~w.isin(list(stop_words)))

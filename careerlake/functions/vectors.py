@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +31,12 @@ def norm(c: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """One minus the cosine of two vectors; NULL if either has no length."""
     return F.lit(1.0) - _dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+
+
+def cosine_distance_to(a: Column, wanted: Sequence[float]) -> Column:
+    """The same for one given vector, whose length is taken out beforehand."""
+    length = math.sqrt(sum(x * x for x in wanted))
+    if not length:
+        return F.lit(None).cast("double")
+    unit = F.lit([x / length for x in wanted])
+    return F.lit(1.0) - _dot(a, unit) / F.nullif(norm(a), F.lit(0.0))

@@ -87,22 +87,25 @@ def effective_attachment(own: Column, carried: Column) -> Column:
     return F.coalesce(filled(own), carried, F.lit(""))
 
 
-def session_summary(messages: DataFrame) -> DataFrame:
+def session_summary(messages: DataFrame, time: str | None = None) -> DataFrame:
     """Title and last activity per conversation, most recent first.
 
-    The opening user message gives the title. Both aggregates combine before the
-    shuffle.
+    ``time`` names the column with a message's time; conversations without any time come
+    last, and turns settle ties. Without such a column only turns are known. The opening
+    user message gives the title. All aggregates combine before the shuffle.
     """
     opening = F.when(F.col("role") == "user", F.col("turn"))
+    when = [F.max(time).alias("updated_at")] if time else []
     return (
         messages.groupBy("conv_id")
         .agg(
             F.min_by("content", opening).alias("title"),
             F.max("turn").alias("last_turn"),
             F.count(F.lit(1)).alias("messages"),
+            *when,
         )
         .withColumn("title", session_title(F.col("title")))
-        .orderBy(F.desc("last_turn"), F.asc("conv_id"))
+        .orderBy(*[F.desc_nulls_last("updated_at")] * bool(time), F.desc("last_turn"), F.asc("conv_id"))
     )
 
 

@@ -13,11 +13,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from careerlake.functions.matching import term_hits
 from careerlake.operators.ranking import number_rows, top_k
+from careerlake.session import scratch_path
 
 # Fixed value: candidates each branch may give to the ranking.
 BRANCH_SIZE = 300
@@ -29,10 +34,11 @@ BLOCK_SIZE = 512
 
 @dataclass
 class RequestBlock:
-    """A bounded set of requests as plain values."""
+    """A bounded set of requests as plain values, and the type of their ids."""
 
     ids: list
     vectors: np.ndarray
+    id_type: T.DataType
     places: list[list[str]] = field(default_factory=list)
     words: list[list[str]] = field(default_factory=list)
 
@@ -56,6 +62,7 @@ class RequestBlock:
             [r.query_id for r in rows],
             np.array([r.embedding for r in rows], dtype=np.float64).reshape(
                 len(rows), len(rows[0].embedding) if rows else 1),
+            requests.schema["query_id"].dataType,
             [list(r.places or []) for r in rows],
             [list(r.title_words or []) for r in rows],
         )
@@ -122,7 +129,7 @@ def local_candidates(docs: DataFrame, block: RequestBlock, size: int = BRANCH_SI
     places, words = block.place_terms(), block.word_terms()
     empty = F.array().cast("array<int>")
     job_type = docs.schema["job_id"].dataType.simpleString()
-    query_type = "string" if isinstance(block.ids[0] if block.ids else "", str) else "bigint"
+    query_type = block.id_type.simpleString()
     fed = docs.filter(F.col("embedding").isNotNull()).select(
         "job_id", "embedding",
         (term_hits(places, place_texts) if places else empty).alias("place_hits"),
@@ -132,8 +139,7 @@ def local_candidates(docs: DataFrame, block: RequestBlock, size: int = BRANCH_SI
     word_at = [[words.index(t) for t in terms] for terms in block.words]
     wanted, ids_of = _unit(block.vectors), block.ids
     out_schema = pa.schema([
-        ("query_id", pa.string() if query_type == "string" else pa.int64()),
-        ("job_id", pa.int64()), ("scope", pa.string()), ("branch", pa.string()),
+        ("query_id", to_arrow_type(block.id_type)), ("job_id", pa.int64()), ("scope", pa.string()), ("branch", pa.string()),
         ("vector_distance", pa.float64()),
     ])
 
@@ -183,12 +189,62 @@ def candidates(docs: DataFrame, block: RequestBlock, size: int = BRANCH_SIZE,
     return top_k(local, ["query_id", "scope", "branch"], order, size, "branch_rank")
 
 
+# Documents a task holds at once while it goes through all requests.
+PIECE = 16_384
+
+
 def nearest(docs: DataFrame, requests: DataFrame, k: int = BRANCH_SIZE,
             limit: int = BLOCK_SIZE) -> DataFrame:
-    """Exact k nearest documents of each request by cosine distance."""
-    found = None
-    for part in request_blocks(requests.select("query_id", "embedding"), limit):
-        best = candidates(docs, RequestBlock.collect(part, limit), k)
-        found = best if found is None else found.unionByName(best)
-    return found.select(
-        "query_id", "job_id", "vector_distance", F.col("branch_rank").alias("rank"))
+    """Exact k nearest documents of each request by cosine distance.
+
+    The documents are read once, however many requests there are. Requests are written to the
+    shared folder; a task holds a piece of its documents and reads all requests past it, block
+    by block, keeping the best ``k`` of each.
+    """
+    id_type = requests.schema["query_id"].dataType
+    path = scratch_path(docs.sparkSession, "requests")
+    requests.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).write.parquet(path)
+    fed = docs.filter(F.col("embedding").isNotNull()).select("job_id", "embedding")
+    schema = pa.schema([
+        ("query_id", to_arrow_type(id_type)), ("job_id", pa.int64()), ("vector_distance", pa.float64())])
+
+    def best(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        system, place = pyarrow.fs.FileSystem.from_uri(path)
+        order = np.argsort(ids)  # so that places among equals follow the ids
+        ids, units = ids[order], _unit(vectors[order])
+        for block in pyarrow.dataset.dataset(place, filesystem=system).to_batches(batch_size=limit):
+            if block.num_rows == 0:
+                continue
+            wanted = np.array(block.column("embedding").to_pylist(), dtype=np.float64)
+            # Rounding far below float precision makes equal vectors tie exactly; no distance is last.
+            distances = np.nan_to_num(np.round(1.0 - _unit(wanted) @ units.T, 12), nan=np.inf)
+            chosen = np.argsort(distances, axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(distances, chosen, axis=1).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [block.column("query_id").take(pa.array(np.repeat(np.arange(block.num_rows), chosen.shape[1]))),
+                 pa.array(ids[chosen.ravel()], pa.int64()),
+                 pa.array(found, pa.float64(), mask=np.isinf(found))], schema=schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def piece() -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield from best(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            held.append((batch.column("job_id").to_numpy(zero_copy_only=False),
+                         flat.astype(np.float64).reshape(batch.num_rows, -1)))
+            rows += batch.num_rows
+            if rows >= PIECE:
+                yield from piece()
+                held, rows = [], 0
+        yield from piece()
+
+    local = fed.mapInArrow(scan, f"query_id {id_type.simpleString()}, job_id long, vector_distance double")
+    ranked = top_k(local, ["query_id"], [F.col("vector_distance").asc_nulls_last(), F.col("job_id")], k)
+    return ranked.select("query_id", "job_id", "vector_distance", "rank")

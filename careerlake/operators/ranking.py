@@ -10,13 +10,25 @@ from pyspark.sql import functions as F
 from careerlake.session import checkpointed
 
 
+# Up to this many rows per group Spark limits groups below the exchange; beyond it, groups are
+# limited in parts first.
+GROUP_LIMIT = 1000
+PARTS = 64
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
           out: str = "rank") -> DataFrame:
     """First ``k`` rows of each group in the given order, numbered from 1.
 
     A filter on ``row_number`` is planned with a group limit below the exchange, so
-    each task sends at most ``k`` rows of a group, however large the group is.
+    each task sends at most ``k`` rows of a group, however large the group is. For larger
+    ``k`` a group is first cut into parts by a hash of its rows, and each gives ``k`` rows.
     """
+    if k > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+        inside = Window.partitionBy(*group, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_at", F.row_number().over(inside)).filter(
+            F.col("_at") <= k).drop("_part", "_at")
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
 

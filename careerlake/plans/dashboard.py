@@ -8,6 +8,7 @@ industry that owns a large part of the jobs is one row by then.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 
 from careerlake.functions import display
 from careerlake.functions.text import cloud_tokens
-from careerlake.functions.wordlists import WORD_CLOUD_STOP_WORDS
 from careerlake.model import Star
 from careerlake.operators.ranking import top_k
 from careerlake.plans.star import (
     ALL, Filters, job_categories, matching_jobs, with_category_count,
 )
+from careerlake.session import checkpointed
 
 # List lengths and limits of the reports.
 TOP_SKILLS = TOP_COMPANIES = TOP_CATEGORIES = 10
@@ -171,8 +172,8 @@ def top_locations(star: Star, filters: Filters = Filters(), n: int = TOP_LOCATIO
     return top.withColumn("share", share).orderBy(F.desc("jobs"), F.asc("location_name"))
 
 
-def word_counts(texts: DataFrame, column: str, weight: Column | None = None,
-                stop_words: Sequence[str] = WORD_CLOUD_STOP_WORDS) -> DataFrame:
+def word_counts(texts: DataFrame, column: str, stop_words: Sequence[str],
+                weight: Column | None = None) -> DataFrame:
     """Occurrences of each word in a text column."""
     weight = F.lit(1) if weight is None else weight
     words = texts.filter(F.col(column).isNotNull()).select(
@@ -180,11 +181,12 @@ def word_counts(texts: DataFrame, column: str, weight: Column | None = None,
     return words.groupBy("word").agg(F.sum("_weight").alias("n"))
 
 
-def word_cloud(star: Star, filters: Filters = Filters(), n: int = CLOUD_WORDS,
-               stop_words: Sequence[str] = WORD_CLOUD_STOP_WORDS, sample: int | None = None
-               ) -> DataFrame:
+def word_cloud(star: Star, stop_words: Sequence[str], filters: Filters = Filters(),
+               n: int = CLOUD_WORDS, sample: int | None = None) -> DataFrame:
     """Most common words of the job requirements with font sizes.
 
+    ``stop_words`` is the list of the site; words on it are not shown.
+
     The whole corpus counts. ``sample`` takes only that many joined rows, lowest job
     ids first, for sites that show a quick sample (T9).
     """
@@ -195,7 +197,7 @@ def word_cloud(star: Star, filters: Filters = Filters(), n: int = CLOUD_WORDS,
         repeated = texts.select("job_id", "job_requirements", F.explode(
             F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
         texts = repeated.orderBy("job_id", "copy").limit(sample).withColumn("copies", F.lit(1))
-    counts = word_counts(texts, "job_requirements", F.col("copies"), stop_words)
+    counts = word_counts(texts, "job_requirements", stop_words, F.col("copies"))
     return sized_words(counts, n)
 
 
@@ -219,12 +221,13 @@ TABLE_TEXTS = {
 def latest_jobs(star: Star, filters: Filters = Filters(), n: int = TABLE_ROWS) -> DataFrame:
     """Newest jobs with their texts; jobs without a date come first.
 
-    The rows are picked from ids and dates alone. Only the chosen jobs are joined to
-    company names and long texts.
+    The rows are picked from ids and dates alone, once: the few chosen ids are written down.
+    Only the chosen jobs are joined to company names and long texts.
     """
     jobs = matching_jobs(star, filters, ["posted_date"])
     dated = jobs.groupBy("job_id").agg(F.max("posted_date").alias("posted_date"))
-    newest = dated.orderBy(F.desc_nulls_first("posted_date"), F.asc("job_id")).limit(n)
+    newest = checkpointed(
+        dated.orderBy(F.desc_nulls_first("posted_date"), F.asc("job_id")).limit(n))
     owners = star.fact_job_postings.select("job_id", "company_id").join(
         newest.select("job_id"), "job_id", "left_semi")
     companies = owners.join(
@@ -266,56 +269,88 @@ def option_order(choice: Column) -> list[Column]:
 
 
 def sorted_options(options: DataFrame) -> DataFrame:
-    return options.orderBy(F.col("filter"), *option_order(F.col("choice")))
+    """The choices of each dropdown in order, with their position from 1."""
+    place = Window.partitionBy("filter").orderBy(*option_order(F.col("choice")))
+    return options.withColumn("position", F.row_number().over(place).cast("bigint")).orderBy(
+        "filter", "position")
+
+
+def _base_star(star: Star, filters: Filters) -> Star:
+    """The star with only the jobs that pass the filters, written down once.
+
+    Reports of one document read these narrow rows instead of filtering the facts ten times.
+    """
+    columns = ["job_level", "salary_numeric", "years_of_experience", "posted_date"]
+    base = checkpointed(matching_jobs(star, filters, columns))
+    return replace(
+        star, fact_job_postings=base.select("job_id", "company_id", "industry_id"),
+        dim_job_details=base.select("job_id", *columns).dropDuplicates(["job_id"]))
 
 
-def dashboard_document(star: Star, filters: Filters = Filters(),
-                       stop_words: Sequence[str] = WORD_CLOUD_STOP_WORDS) -> DataFrame:
-    """All reports as one row of nested lists.
+def dashboard_document(star: Star, stop_words: Sequence[str], filters: Filters = Filters()
+                       ) -> DataFrame:
+    """All reports as one row: charts as lists of labels and values, tables as lists.
 
-    Each report is short by then, so its rows are folded into one list of structs.
+    Each report is short by then. Its rows are folded with their sort keys in front and
+    sorted as a list, so no window runs over a whole report.
     """
-    def folded(report: DataFrame, name: str, order: Sequence[Column], columns: Sequence[str]
-               ) -> DataFrame:
-        place = F.row_number().over(Window.orderBy(*order))
-        listed = report.select(F.struct(place.alias("_at"), *columns).alias("_row"))
-        rows = F.array_sort(F.collect_list("_row"))
-        return listed.agg(F.transform(
-            rows, lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias(name))
-
-    labels = kpi_labels(kpi(star, filters))
+    narrow = _base_star(star, filters)
+    kept = Filters(category=filters.category)  # categories of the jobs still depend on it
+
+    def rows(order: Sequence[Column], values: dict[str, Column]) -> Column:
+        keys = [c.alias(f"_{i}") for i, c in enumerate(order)]
+        listed = F.sort_array(F.collect_list(F.struct(
+            *keys, F.struct(*[c.alias(n) for n, c in values.items()]).alias("_row"))))
+        return F.transform(listed, lambda r: r["_row"])
+
+    def table(report: DataFrame, name: str, order: Sequence[Column], values: dict[str, Column]
+              ) -> DataFrame:
+        return report.agg(rows(order, values).alias(name))
+
+    def chart(report: DataFrame, name: str, order: Sequence[Column], values: dict[str, Column]
+              ) -> DataFrame:
+        folded = report.agg(rows(order, values).alias("_rows"))
+        return folded.select(F.struct(*[
+            F.transform("_rows", lambda r: r[n]).alias(n) for n in values]).alias(name))
+
+    def label(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit("None"))
+
+    jobs, salary = F.col("jobs"), F.col("avg_salary_millions")
+    # The newest rows need long texts, so they come from the whole star.
+    labels = kpi_labels(kpi(narrow, kept))
     sections = [
         labels.select(F.struct(*labels.columns).alias("kpi")),
-        folded(top_skills(star, filters), "bar_skills",
-               [F.desc("jobs"), F.asc("skill_name")], ["skill_name", "jobs"]),
-        folded(level_distribution(star, filters), "pie_levels",
-               [F.desc("jobs"), F.asc("job_level")], ["job_level", "jobs"]),
-        folded(top_companies(star, filters), "bar_companies",
-               [F.desc("jobs"), F.asc("company_name")], ["company_name", "jobs"]),
-        folded(category_salaries(star, filters), "bar_salaries",
-               [F.desc("avg_salary"), F.asc("category_name")],
-               ["category_name", "avg_salary_millions"]),
-        folded(salary_by_experience(star, filters), "mix_exp",
-               [F.asc("years_of_experience")],
-               ["years_of_experience", "jobs", "avg_salary_millions"]),
-        folded(treemap(star, filters), "treemap",
-               [F.asc("industry_name"), F.asc("shade")],
-               ["industry_name", "category_name", "jobs"]),
-        folded(top_locations(star, filters), "pie_locations",
-               [F.desc("jobs"), F.asc("location_name")], ["location_name", "jobs", "share"]),
-        folded(word_cloud(star, filters, stop_words=stop_words), "word_cloud",
-               [F.desc("value"), F.asc("key")], ["key", "value"]),
-        folded(latest_jobs(star, filters), "table_data",
-               [F.desc_nulls_first("posted_date"), F.asc("job_id")], list(TABLE_TEXTS)),
+        chart(top_skills(narrow, kept), "bar_skills", [-jobs, F.col("skill_name")],
+              {"labels": label("skill_name"), "data": jobs}),
+        chart(level_distribution(narrow, kept), "pie_levels", [-jobs, F.col("job_level")],
+              {"labels": label("job_level"), "data": jobs}),
+        chart(top_companies(narrow, kept), "bar_companies", [-jobs, F.col("company_name")],
+              {"labels": label("company_name"), "data": jobs}),
+        chart(category_salaries(narrow, kept), "bar_salaries",
+              [-F.col("avg_salary"), F.col("category_name")],
+              {"labels": label("category_name"), "data": salary}),
+        chart(salary_by_experience(narrow, kept), "mix_exp", [F.col("years_of_experience")],
+              {"labels": label("years_of_experience"), "jobs": jobs, "salary": salary}),
+        table(treemap(narrow, kept), "treemap", [F.col("industry_name"), F.col("shade")],
+              {"industry": F.col("industry_name"), "category": F.col("category_name"),
+               "value": jobs}),
+        chart(top_locations(narrow, kept), "pie_locations", [-jobs, F.col("location_name")],
+              {"labels": label("location_name"), "data": jobs}),
+        table(word_cloud(star, stop_words, filters), "word_cloud",
+              [-F.col("value"), F.col("key")], {"key": F.col("key"), "value": F.col("value")}),
+        table(latest_jobs(star, filters), "table_data",
+              [F.col("posted_date").isNotNull(), -F.unix_date("posted_date"), F.col("job_id")],
+              {name: F.col(name) for name in TABLE_TEXTS}),
     ]
     names = [s.columns[0] for s in sections]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sections)
     return stacked.agg(*[F.first(name, ignorenulls=True).alias(name) for name in names])
 
 
-def dashboard_json(star: Star, filters: Filters = Filters(),
-                   stop_words: Sequence[str] = WORD_CLOUD_STOP_WORDS) -> DataFrame:
+def dashboard_json(star: Star, stop_words: Sequence[str], filters: Filters = Filters()
+                   ) -> DataFrame:
     """The dashboard document as JSON text."""
-    document = dashboard_document(star, filters, stop_words)
+    document = dashboard_document(star, stop_words, filters)
     return document.select(F.to_json(
         F.struct(*document.columns), {"ignoreNullFields": "false"}).alias("document"))

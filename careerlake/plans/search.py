@@ -14,7 +14,7 @@ from careerlake.functions.matching import (
     searchable, searchable_chunk, split_words,
 )
 from careerlake.functions.text import clip, normalize_query
-from careerlake.functions.vectors import cosine_distance
+from careerlake.functions.vectors import cosine_distance_to
 from careerlake.model import Star
 from careerlake.operators.embed import embed_hashed
 from careerlake.operators.nearest import (
@@ -83,9 +83,12 @@ def search_text(wanted: Column, query: Column, attachment: Column) -> Column:
 
 
 def prepare_requests(requests: DataFrame,
-                     embed: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+                     embed: Callable[[DataFrame, str], DataFrame] | None = None,
+                     segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """Requests with their terms, and with a vector where they bring none.
 
+    ``embed`` and ``segment`` must be those that made the vectors of the documents.
+
     Input: ``query_id``, ``user_query``, ``cv_text``, ``job_title``, ``locations`` and
     perhaps ``embedding``.
     """
@@ -98,7 +101,7 @@ def prepare_requests(requests: DataFrame,
         "keywords": query_keywords(F.col("user_query"), F.col("places")),
         "requested_location": requested_label(F.col("places")),
         "search_text": normalize_query(
-            search_text(F.col("wanted"), F.col("user_query"), F.col("cv_text"))),
+            search_text(F.col("wanted"), F.col("user_query"), F.col("cv_text")), segment=segment),
     })
     if "embedding" in requests.columns:
         return ready
@@ -117,9 +120,8 @@ def vector_search(docs: DataFrame, vector: Sequence[float], places: Sequence[str
                   n: int = BRANCH_SIZE) -> DataFrame:
     """Jobs of one request nearest to its vector."""
     texts = [F.translate("chunk_text", "_", " "), F.col("company_name"), F.col("job_title")]
-    wanted = F.lit(list(map(float, vector)))
     near = docs.filter(mentions_any(places, texts)).withColumn(
-        "vector_distance", cosine_distance(F.col("embedding"), wanted))
+        "vector_distance", cosine_distance_to(F.col("embedding"), list(map(float, vector))))
     return near.orderBy(F.asc_nulls_last("vector_distance"), "job_id").limit(n)
 
 
@@ -131,16 +133,22 @@ class SearchResult:
     scopes: DataFrame
 
 
+def search_forms(docs: DataFrame) -> DataFrame:
+    """Documents with the forms a search reads: padded title, company and chunk."""
+    return docs.select(
+        "*", searchable(F.col("job_title")).alias("title_form"),
+        searchable(F.col("company_name")).alias("company_form"),
+        searchable_chunk(F.col("chunk_text")).alias("chunk_form"))
+
+
 def _chosen_candidates(docs: DataFrame, block: RequestBlock, n: int) -> DataFrame:
     """Candidates of each request, nearby ones if there are any.
 
     A request has at most ``4 n`` candidate rows, so a window per request is bounded.
     """
     found = candidates(
-        docs, block, n,
-        [searchable_chunk(F.col("chunk_text")), searchable(F.col("company_name")),
-         searchable(F.col("job_title"))],
-        searchable(F.col("job_title")))
+        docs, block, n, [F.col("chunk_form"), F.col("company_form"), F.col("title_form")],
+        F.col("title_form"))
     merged = found.groupBy("query_id", "scope", "job_id").agg(
         F.min("vector_distance").alias("vector_distance"))
     any_near = F.max((F.col("scope") == "near").cast("int")).over(Window.partitionBy("query_id"))
@@ -158,8 +166,7 @@ def candidate_texts(found: DataFrame, docs: DataFrame) -> DataFrame:
     rows are written down, as scoring and the final rows both need them.
     """
     ids = F.broadcast(found.select("job_id").distinct())
-    columns = [c for c in DOCUMENT_COLUMNS if c != "embedding"]
-    return checkpointed(docs.select(*columns).join(ids, "job_id", "left_semi"))
+    return checkpointed(docs.drop("embedding", "company_form").join(ids, "job_id", "left_semi"))
 
 
 def score_candidates(found: DataFrame, texts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -172,9 +179,7 @@ def score_candidates(found: DataFrame, texts: DataFrame, requests: DataFrame) ->
         "query_id", "wanted",
         search_terms(F.col("title_words")).alias("words"),
         search_terms(F.col("keywords")).alias("terms"))
-    forms = texts.select(
-        "job_id", searchable(F.col("job_title")).alias("title"),
-        searchable_chunk(F.col("chunk_text")).alias("chunk"))
+    forms = texts.select("job_id", F.col("title_form").alias("title"), F.col("chunk_form").alias("chunk"))
     # Scoring costs time rather than bytes: keep all partitions instead of letting the
     # small rows be gathered into a few.
     spread = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -204,16 +209,18 @@ def hybrid_search(requests: DataFrame, docs: DataFrame, k: int = RESULTS,
                   branch_size: int = BRANCH_SIZE, block_size: int = BLOCK_SIZE) -> SearchResult:
     """Vector and keyword candidates, scored and fused, for every request.
 
-    ``requests`` come from ``prepare_requests``. Each block of requests scans the
-    documents once for candidates and once, by candidate id, for their texts.
+    ``requests`` come from ``prepare_requests``. The documents are joined and brought into their
+    search forms once, and written down. Each block of requests then scans that table once for
+    candidates and once, by candidate id, for their texts.
     """
     rows, scopes = [], []
+    docs = checkpointed(search_forms(docs.select(*DOCUMENT_COLUMNS)))
     # Requests are read for counting, terms, scores and scopes; embed them once.
     for part in request_blocks(checkpointed(requests), block_size):
         found = _chosen_candidates(docs, RequestBlock.collect(part, block_size), branch_size)
         texts = candidate_texts(found, docs)
         best = rank_candidates(score_candidates(found, texts, part), k)
-        rows.append(best.join(texts, "job_id").join(
+        rows.append(best.join(texts.drop("title_form", "chunk_form"), "job_id").join(
             part.select("query_id", "requested_location"), "query_id"))
         near = found.filter(~F.col("is_fallback")).select("query_id").distinct()
         far = part.filter(F.size("places") > 0).join(near, "query_id", "left_anti").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,15 +30,17 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a temporary folder; a cluster
-    session without it is refused, as a machine-local folder would lose data.
+    A folder given by ``setCheckpointDir`` counts, too. A local session without either gets a
+    temporary folder, removed at its end; a cluster session is refused, as a machine-local
+    folder would lose data.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="careerlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -47,7 +51,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder; cuts its lineage."""
+    """Reliable checkpoint of ``df`` in the shared folder; cuts its lineage.
+
+    Its files go once nothing refers to it, if the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; without that setting they stay until
+    the folder is cleaned.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

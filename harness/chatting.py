@@ -37,7 +37,17 @@ def session_summary(spark, sf):
     return history.session_summary(roles.messages(spark, sf))
 
 
+def session_list(spark, sf):
+    """Conversations by last activity; an event gives the time of a message."""
+    times = roles.table(spark, sf, "events").select("event_id", "ts")
+    timed = roles.messages(spark, sf).withColumn("event_id", F.col("conv_id") * 7 + F.col("turn")).join(
+        times, "event_id", "left").drop("event_id")
+    ordered = history.session_summary(timed, "ts")
+    return ordered.select("conv_id", "title", "updated_at", "messages")
+
+
 QUERIES = {
+    "session_list": session_list,
     "last_turns": last_turns,
     "carry_forward": carry_forward,
     "prompt_messages": prompt_messages,
@@ -49,6 +59,11 @@ _CARRIED = f"""SELECT *, last_value(nullif(cv_text, '') IGNORE NULLS) OVER (
     FROM ({MESSAGES})"""
 
 ORACLE = {
+    "session_list": f"""SELECT conv_id,
+          array_to_string(list_filter(string_split_regex(
+            arg_min(content, turn) FILTER (role = 'user'), '\\s+'), lambda w: w <> '')[1:6], ' ')
+            || '...' AS title, max(ts) AS updated_at, count(*) AS messages
+        FROM ({MESSAGES}) LEFT JOIN events ON event_id = conv_id * 7 + turn GROUP BY conv_id""",
     "last_turns": f"""SELECT conv_id, turn, role, content, row_number() OVER (
           PARTITION BY conv_id ORDER BY turn) AS position
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r

@@ -103,9 +103,7 @@ def flatten_docs(spark, sf):
 
 def bridge_rows(spark, sf):
     flat = flat_ops.flatten(roles.job_documents(spark, sf), roles.BASE_URL)
-    parts = [flat_ops.bridge(flat, array, "name").select(F.lit(array).alias("bridge"), "job_id", "name")
-             for array in ("provinces", "skills", "categories")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return flat_ops.bridges(flat, ["provinces", "skills", "categories"], "name")
 
 
 def surrogate_keys(spark, sf):
@@ -237,7 +235,7 @@ ORACLE = {
     "html_strip": """SELECT page_id,
         replace(trim(regexp_replace(html, '<[^>]*>', ' ', 'g')), chr(10), ' ') AS plain FROM pages""",
     "normalize_text": f"""SELECT doc_id, {sql_normalize('text')} AS normalized,
-        length(lower(text)) AS query_length FROM documents""",
+        length({sql_normalize('text')}) AS query_length FROM documents""",
     "output_text": """SELECT doc_id, substr(text, 1, 800) AS shown,
         upper(source[1]) || lower(source[2:]) AS label,
         CASE WHEN lang <> 'en' THEN lang ELSE '' END AS other_lang,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from careerlake.plans import dashboard
 from careerlake.plans.star import Filters
 from harness import roles
 from harness.roles import with_star
 
+# Stop words of the checks: frequent words of the given texts.
+STOP_WORDS = ["that", "with", "from", "this", "have", "were", "pour", "dans", "elle", "para"]
+
 CHOSEN = Filters(industry="NATION_7", category="PROMO", level="2-HIGH", location="NATION_3")
 _WHERE = """industry_name = 'NATION_7' AND category_name = 'PROMO' AND job_level = '2-HIGH'
     AND job_id IN (SELECT job_id FROM loc WHERE location_name = 'NATION_3')"""
@@ -27,10 +28,7 @@ def _labels(spark, sf):
 
 
 def _sorted_options(spark, sf):
-    ordered = dashboard.option_order(F.col("choice"))
-    names = dashboard.filter_options(roles.star(spark, sf)).filter(F.col("filter") == "industry")
-    numbered = F.row_number().over(dashboard.Window.partitionBy("filter").orderBy(*ordered))
-    return names.select("choice", numbered.cast("bigint").alias("position"))
+    return dashboard.sorted_options(dashboard.filter_options(roles.star(spark, sf)))
 
 
 QUERIES = {
@@ -46,16 +44,18 @@ QUERIES = {
     "salary_by_experience": _report(dashboard.salary_by_experience),
     "treemap": _report(dashboard.treemap),
     "top_locations_share": _report(dashboard.top_locations),
-    "word_cloud": lambda spark, sf: dashboard.word_cloud(roles.star(spark, sf, texts=True)),
+    "word_cloud": lambda spark, sf: dashboard.word_cloud(
+        roles.star(spark, sf, texts=True), STOP_WORDS),
     "word_counts": lambda spark, sf: dashboard.word_counts(
-        roles.table(spark, sf, "documents"), "text"),
+        roles.table(spark, sf, "documents"), "text", STOP_WORDS),
     "latest_jobs": lambda spark, sf: dashboard.latest_jobs(roles.star(spark, sf, texts=True)),
     "filter_options": lambda spark, sf: dashboard.filter_options(roles.star(spark, sf)),
     "filter_options_sorted": _sorted_options,
-    "dashboard_json": lambda spark, sf: dashboard.dashboard_json(roles.star(spark, sf, texts=True)),
+    "dashboard_json": lambda spark, sf: dashboard.dashboard_json(
+        roles.star(spark, sf, texts=True), STOP_WORDS),
 }
 
-_STOP = ", ".join(f"'{w}'" for w in dashboard.WORD_CLOUD_STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def _words(text: str, weight: str, source: str) -> str:
@@ -84,33 +84,34 @@ _JSON_PARTS = {
         'total_companies': format('{{:,}}', total_companies),
         'avg_salary': printf('%.1f', round(avg_salary / 1000000, 1)) || ' M',
         'avg_exp': printf('%.1f', round(avg_experience, 1)) || ' Years'}} FROM ({_KPI})""",
-    "bar_skills": """SELECT list({'skill_name': skill_name, 'jobs': jobs} ORDER BY jobs DESC, skill_name)
+    "bar_skills": """SELECT {'labels': list(skill_name ORDER BY jobs DESC, skill_name),
+          'data': list(jobs ORDER BY jobs DESC, skill_name)}
         FROM (SELECT skill_name, count(DISTINCT b.job_id) AS jobs FROM base b
               JOIN sk ON b.job_id = sk.job_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""",
-    "pie_levels": """SELECT list({'job_level': job_level, 'jobs': jobs} ORDER BY jobs DESC, job_level)
+    "pie_levels": """SELECT {'labels': list(job_level ORDER BY jobs DESC, job_level),
+          'data': list(jobs ORDER BY jobs DESC, job_level)}
         FROM (SELECT job_level, count(DISTINCT job_id) AS jobs FROM base GROUP BY 1)""",
-    "bar_companies": """SELECT list({'company_name': company_name, 'jobs': jobs}
-          ORDER BY jobs DESC, company_name)
+    "bar_companies": """SELECT {'labels': list(company_name ORDER BY jobs DESC, company_name),
+          'data': list(jobs ORDER BY jobs DESC, company_name)}
         FROM (SELECT company_name, count(DISTINCT b.job_id) AS jobs
               FROM base b JOIN co ON b.company_id = co.company_id
               GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""",
-    "bar_salaries": """SELECT list({'category_name': category_name,
-          'avg_salary_millions': round(s / 1000000, 1)} ORDER BY s DESC, category_name)
+    "bar_salaries": """SELECT {'labels': list(category_name ORDER BY s DESC, category_name),
+          'data': list(round(s / 1000000, 1) ORDER BY s DESC, category_name)}
         FROM (SELECT category_name, avg(salary_numeric) AS s FROM base
               WHERE salary_numeric > 0 AND category_name IS NOT NULL
               GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""",
-    "mix_exp": """SELECT list({'years_of_experience': y, 'jobs': jobs,
-          'avg_salary_millions': round(s / 1000000, 1)} ORDER BY y)
+    "mix_exp": """SELECT {'labels': list(CAST(y AS VARCHAR) ORDER BY y), 'jobs': list(jobs ORDER BY y),
+          'salary': list(round(s / 1000000, 1) ORDER BY y)}
         FROM (SELECT years_of_experience AS y, avg(salary_numeric) AS s,
                 count(DISTINCT job_id) AS jobs
               FROM base WHERE salary_numeric > 0 AND years_of_experience <= 10 GROUP BY 1)""",
-    "treemap": f"""SELECT list({{'industry_name': industry_name, 'category_name': category_name,
-          'jobs': jobs}} ORDER BY industry_name, shade) FROM ({_TREEMAP})""",
-    "pie_locations": """SELECT list({'location_name': location_name, 'jobs': jobs,
-          'share': CAST(round(100.0 * jobs / total) AS INT)} ORDER BY jobs DESC, location_name)
-        FROM (SELECT *, sum(jobs) OVER () AS total FROM (
-          SELECT location_name, count(DISTINCT b.job_id) AS jobs
-          FROM base b JOIN loc ON b.job_id = loc.job_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5))""",
+    "treemap": f"""SELECT list({{'industry': industry_name, 'category': category_name,
+          'value': jobs}} ORDER BY industry_name, shade) FROM ({_TREEMAP})""",
+    "pie_locations": """SELECT {'labels': list(location_name ORDER BY jobs DESC, location_name),
+          'data': list(jobs ORDER BY jobs DESC, location_name)}
+        FROM (SELECT location_name, count(DISTINCT b.job_id) AS jobs
+          FROM base b JOIN loc ON b.job_id = loc.job_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)""",
     "word_cloud": f"""SELECT list({{'key': upper(word[1]) || word[2:], 'value': n}}
           ORDER BY n DESC, word)
         FROM ({_words('job_requirements', '1', 'base WHERE job_requirements IS NOT NULL')}
@@ -189,7 +190,12 @@ ORACLE = {
         UNION ALL SELECT DISTINCT 'category', category_name FROM cat
         UNION ALL SELECT DISTINCT 'level', job_level FROM jd
         UNION ALL SELECT DISTINCT 'location', location_name FROM loc"""),
-    "filter_options_sorted": with_star("""SELECT choice, row_number() OVER (
-          ORDER BY CASE WHEN choice = 'All' THEN 0 ELSE 1 END, choice) AS position
-        FROM (SELECT 'All' AS choice UNION ALL SELECT DISTINCT industry_name FROM ind)"""),
+    "filter_options_sorted": with_star("""SELECT filter, choice, row_number() OVER (
+          PARTITION BY filter ORDER BY CASE WHEN choice = 'All' THEN 0 ELSE 1 END, choice) AS position
+        FROM (SELECT 'industry' AS filter, 'All' AS choice UNION ALL SELECT 'category', 'All'
+          UNION ALL SELECT 'level', 'All' UNION ALL SELECT 'location', 'All'
+          UNION ALL SELECT DISTINCT 'industry', industry_name FROM ind
+          UNION ALL SELECT DISTINCT 'category', category_name FROM cat
+          UNION ALL SELECT DISTINCT 'level', job_level FROM jd
+          UNION ALL SELECT DISTINCT 'location', location_name FROM loc)"""),
 }

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from careerlake.functions import matching, vectors
+from careerlake.functions import matching, text, vectors
+from careerlake.functions.wordlists import QUERY_STOP_WORDS
 from careerlake.operators.embed import embed_hashed, embed_with
 from careerlake.operators.nearest import BRANCH_SIZE, nearest
 from careerlake.operators.ranking import average_rank, fused_score
 from careerlake.plans import prompts, search
 from harness import roles
+from harness.cleaning import sql_normalize
 from harness.roles import table, with_search
 
 INTRODUCTION = "You advise on jobs."
@@ -157,8 +159,19 @@ def prompt_table(spark, sf):
 
 
 def embed_text(spark, sf):
-    return embed_hashed(table(spark, sf, "documents").select("doc_id", "text"), "text").select(
-        "doc_id", "embedding")
+    """What SQL can tell of the hashed vectors: size, length, no regard to the order of words,
+    and at most as many places in use as there are different words."""
+    words = matching.split_words(F.col("text"))
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "text", F.array_join(F.sort_array(words, asc=False), " ").alias("turned"),
+        F.size(F.array_distinct(words)).alias("different"))
+    both = embed_hashed(embed_hashed(docs, "text"), "turned", "again")
+    used = F.size(F.filter("embedding", lambda x: x != 0))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return both.select(
+        "doc_id", F.size("embedding").cast("bigint").alias("size"),
+        F.round(F.sqrt(squares), 4).alias("length"), (F.col("embedding") == F.col("again")).alias("orderless"),
+        used.between(F.least("different", F.lit(1)), F.col("different")).alias("bounded"))
 
 
 def letter_counts():
@@ -177,7 +190,24 @@ def embed_encoder(spark, sf):
     return rows.select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(f"n{i}") for i in range(5)])
 
 
+def embedded_requests(spark, sf):
+    """Benchmark texts as requests without vectors: embedded like the documents, then searched."""
+    def embed(df, column):
+        return embed_with(df, column, letter_counts)
+
+    docs = embed(table(spark, sf, "documents").select(
+        F.col("doc_id").alias("job_id"), text.normalize(F.col("text")).alias("chunk")), "chunk")
+    asked = search.prepare_requests(table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("user_query"),
+        F.lit("").alias("cv_text"), F.lit("").alias("job_title"),
+        F.array().cast("array<string>").alias("locations")), embed)
+    return nearest(docs, asked, 5).select(
+        "query_id", "job_id", F.col("rank").cast("bigint").alias("rank"),
+        F.round("vector_distance", 6).alias("vector_distance"))
+
+
 QUERIES = {
+    "embedded_requests": embedded_requests,
     "vector_codec": vector_codec,
     "cosine_topk": cosine_topk,
     "cosine_pairs": cosine_pairs,
@@ -228,7 +258,7 @@ def _score(wanted: str, words: str, keywords: str) -> str:
                WHEN {_mentions('cl', 'cp', 'w')} THEN 10 ELSE 0 END)), 0) AS BIGINT)"""
 
 
-_STOP = "['tìm', 'việc', 'làm', 'ở', 'tại', 'cho', 'có', 'cần', 'những', 'một', 'vị trí', 'nhân viên']"
+_STOP = "[" + ", ".join(f"'{w}'" for w in QUERY_STOP_WORDS) + "]"
 
 
 def _keywords(query: str) -> str:
@@ -286,6 +316,20 @@ _TITLE_FILTER = " AND ".join(f"({_mentions('tl', 'tp', chr(39) + w + chr(39))})"
 ORACLE = {
     "vector_codec": """SELECT vec_id, len(embedding) AS dimension,
         round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings""",
+    "embed_text": """SELECT doc_id, 384 AS size,
+          CASE WHEN words = 0 THEN 0.0 ELSE 1.0 END AS length, true AS orderless, true AS bounded
+        FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words
+              FROM documents)""",
+    "embedded_requests": f"""WITH counted AS (
+          SELECT doc_id AS id, 'd' AS kind, {sql_normalize('text')} AS t FROM documents
+          UNION ALL SELECT item_id, 'q', {sql_normalize("' ' || text")} FROM benchmark),
+        vectors AS (SELECT id, kind, list_transform(['a', 'e', 'i', 'o', 'u'],
+          lambda c: CAST(length(t) - length(replace(t, c, '')) AS DOUBLE)) AS v FROM counted)
+        SELECT query_id, job_id, r AS rank, round(d, 6) AS vector_distance FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d NULLS LAST, job_id) AS r FROM (
+            SELECT q.id AS query_id, d.id AS job_id, CASE WHEN list_sum(d.v) > 0 THEN
+              round(list_cosine_distance(d.v, q.v), 12) END AS d
+            FROM vectors q JOIN vectors d ON q.kind = 'q' AND d.kind = 'd')) WHERE r <= 5""",
     "cosine_topk": with_search("""SELECT query_id, job_id, r AS rank, round(d, 6) AS vector_distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, job_id) AS r FROM (
           SELECT CAST(c.label AS BIGINT) AS query_id, vec_id AS job_id,

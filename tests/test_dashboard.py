@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 from careerlake.plans import dashboard
 from careerlake.plans.star import Filters
 from harness import catalog, roles
+from harness.dashboard import STOP_WORDS
 from tests.conftest import SMALL
 
 NATIVE = [name for name in catalog.queries() if name not in {
     "hybrid_search", "search_scopes", "rag_context", "prompt_table", "cosine_topk", "embed_encoder",
+    "embedded_requests",
     "incremental_load", "extract_load", "session_activity"}]
 
 
@@ -41,8 +43,8 @@ def test_location_filter_keeps_other_locations_of_the_jobs(spark):
 
 def test_sample_takes_joined_rows(spark):
     star = roles.star(spark, SMALL, texts=True)
-    whole = dashboard.word_cloud(star, n=10**6).agg(F.sum("value")).first()[0]
-    some = dashboard.word_cloud(star, n=10**6, sample=100).agg(F.sum("value")).first()[0]
+    whole = dashboard.word_cloud(star, STOP_WORDS, n=10**6).agg(F.sum("value")).first()[0]
+    some = dashboard.word_cloud(star, STOP_WORDS, n=10**6, sample=100).agg(F.sum("value")).first()[0]
     assert 0 < some < whole
 
 
@@ -54,8 +56,24 @@ def test_option_order(spark):
 
 
 def test_dashboard_document_has_all_sections(spark):
-    document = dashboard.dashboard_document(roles.star(spark, SMALL, texts=True)).first().asDict()
+    document = dashboard.dashboard_document(roles.star(spark, SMALL, texts=True), STOP_WORDS).first().asDict()
     assert set(document) == {
         "kpi", "bar_skills", "pie_levels", "bar_companies", "bar_salaries", "mix_exp", "treemap",
         "pie_locations", "word_cloud", "table_data"}
     assert len(document["table_data"]) == 100 and len(document["treemap"]) == 15
+    assert set(document["bar_skills"].asDict()) == {"labels", "data"}
+    assert set(document["mix_exp"].asDict()) == {"labels", "jobs", "salary"}
+    assert set(document["treemap"][0].asDict()) == {"industry", "category", "value"}
+
+
+def test_dashboard_document_of_no_jobs_has_empty_lists(spark):
+    star = roles.star(spark, SMALL, texts=True)
+    document = dashboard.dashboard_document(star, STOP_WORDS, Filters(industry="NO SUCH")).first()
+    assert document.bar_skills.labels == [] == document.pie_levels.data == document.table_data
+    assert document.kpi.total_jobs == "0"
+
+
+def test_stop_words_are_dropped(spark):
+    texts = spark.createDataFrame([("experience kinh nghiem skills Python python",)], "t string")
+    rows = dashboard.word_counts(texts, "t", ["experience", "skills", "kinh"]).collect()
+    assert {(r.word, r.n) for r in rows} == {("nghiem", 1), ("python", 2)}

@@ -39,6 +39,10 @@ def test_summary_and_conversation(spark):
     rows = history.session_summary(df).collect()
     assert [(r.conv_id, r.title, r.last_turn, r.messages) for r in rows] == [
         ("long", "m0...", 66, 23), ("short", "m0...", 6, 3), ("single", "m0...", 0, 1)]
+    times = {"short": 5, "long": 3}
+    timed = df.withColumn("at", F.when(F.col("conv_id") == "short", 5).when(F.col("conv_id") == "long", 3))
+    assert [(r.conv_id, r.updated_at) for r in history.session_summary(timed, "at").collect()] == [
+        ("short", times["short"]), ("long", times["long"]), ("single", None)]
     assert [r.content for r in history.conversation(df, "short").collect()] == ["m0", "m1", "m2"]
 
 

@@ -24,8 +24,8 @@ def test_every_oracle_belongs_to_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-def test_only_one_query_has_no_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"embed_text"}
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_entry(spark):

@@ -93,3 +93,22 @@ def test_updated_value_may_become_null(spark):
     current = spark.createDataFrame([(1, 5)], "k int, n int")
     incoming = spark.createDataFrame([(1, None)], "k int, n int")
     assert merge.upsert_columns(current, incoming, ["k"], ["n"]).first().n is None
+
+
+def test_merges_read_each_side_at_most_twice(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id AS k", "id AS n", "string(id) AS t")
+    rows.write.parquet(str(tmp_path / "current"))
+    rows.write.parquet(str(tmp_path / "incoming"))
+    current, incoming = (spark.read.parquet(str(tmp_path / n)) for n in ("current", "incoming"))
+    for merged in (merge.insert_if_absent(current, incoming, ["k"]), merge.upsert_columns(current, incoming, ["k"], ["n"])):
+        plan = merged._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= 3, plan
+    plan = merge.upsert_columns(current, incoming, ["k"], ["n"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+
+
+def test_top_k_of_large_groups_goes_in_parts(spark):
+    df = spark.range(5000).selectExpr("id % 2 AS g", "id AS v")
+    rows = top_k(df, ["g"], [F.desc("v")], 1500).collect()
+    assert len(rows) == 3000 and min(r.v for r in rows) == 2000
+    assert {(r.g, r["rank"]) for r in rows} == {(g, i) for g in (0, 1) for i in range(1, 1501)}

@@ -1,148 +1,103 @@
-import re
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from careerlake.functions import matching
+from careerlake.functions import matching, text
 from careerlake.operators.embed import embed_hashed, embed_with, require_size
 from careerlake.operators.nearest import nearest
 from careerlake.plans import search
 
-RNG = np.random.default_rng(3)
-WORDS = ["data", "engineer", "ai", "c++", "sales", "hn", "hà nội", "said", "the", "lead", "kế toán"]
 DOC_SCHEMA = ("job_id long, job_title string, company_name string, salary_text string, job_url string, "
               "chunk_text string, embedding array<float>")
-
-
-def make_docs(n=120, dim=8):
-    rows = []
-    for i in range(n):
-        title = " ".join(RNG.choice(WORDS, 3)).title()
-        chunk = "_".join(RNG.choice(WORDS, 2)) + " " + " ".join(RNG.choice(WORDS, 6))
-        vector = RNG.integers(-3, 4, dim).astype(float).tolist()
-        rows.append((i, title, f"Co {RNG.choice(WORDS)}", "10 triệu", f"u{i}", chunk, vector))
-    rows[5] = rows[5][:6] + ([0.0] * dim,)
-    return rows
-
-
-DOCS = make_docs()
+DOCS = [
+    (1, "Senior Data Engineer", "Co A", "1", "u1", "hà_nội data engineer spark", [1.0, 0.0]),
+    (2, "Data Analyst", "Co B", "2", "u2", "hà nội sql data engineer", [3.0, 1.0]),
+    (3, "Accountant", "Co C", "3", "u3", "huế excel said", [0.0, 1.0]),
+    (4, "AI Engineer, Data", "HN Tech", "4", "u4", "python", [1.0, 1.0]),
+    (5, "Cook", "Co E", "5", "u5", "kitchen", [0.0, 0.0]),
+]
+# id, query, attachment, title, places, vector
 REQUESTS = [
-    (1, "Tìm việc data engineer ở Hà Nội, lương cao!", "", "Data Engineer", ["Hà Nội", "hn"]),
-    (2, "c++ ai (lead)", "my cv", "c++", []),
-    (3, "sales sales", "", "", ["nowhere at all"]),
-    (4, "kế toán ?!", "", "kế toán", ["the"]),
-    (5, "ai", "", "AI Lead", []),
-    (6, "zzzz", "", "", []),
-    (7, "", "", "", []),
+    (1, "data engineer ai", "", "Data Engineer", [], [1.0, 0.0]),
+    (2, "Tìm việc data, cần gấp", "", "", ["Hà Nội "], [1.0, 0.0]),
+    (3, "excel?", "", "", ["nowhere"], [1.0, 0.0]),
+    (4, "", "", "", [], [0.0, 1.0]),
+    (5, "(ai)", "my cv", "", ["hn", "huế"], [1.0, 0.0]),
+    (6, "zzzz", "", "", [], [1.0, 0.0]),
 ]
-VECTORS = {q[0]: RNG.integers(-3, 4, 8).astype(float).tolist() for q in REQUESTS}
-
-
-def boundary(term, text):
-    return re.search(rf"\b{re.escape(term)}\b", text) is not None
-
-
-def says(term, text):
-    return boundary(term, text) if len(term) <= 3 else term in text
-
-
-def brute_force(request, k, branch):
-    """The search written out for one request, after the rules in SURVEY section 2."""
-    _, query, _, wanted, places = request
-    wanted, places = wanted.strip().lower(), [p.strip().lower() for p in places]
-    words = wanted.split()
-    vector = np.array(VECTORS[request[0]])
-
-    def texts(doc):
-        return doc[1].lower(), doc[5].lower().replace("_", " "), doc[2].lower()
-
-    def near(doc):
-        return not places or any(says(p, t) for p in places for t in texts(doc))
-
-    def distance(doc):
-        v = np.array(doc[6])
-        norms = np.linalg.norm(v) * np.linalg.norm(vector)
-        return round(1 - v @ vector / norms, 12) if norms else float("inf")
-
-    def candidates(docs):
-        found = {d[0]: distance(d) for d in sorted(docs, key=lambda d: (distance(d), d[0]))[:branch]}
-        titled = [d for d in docs if words and all(says(w, d[1].lower()) for w in words)]
-        found.update({d[0]: 0.0 for d in sorted(titled)[:branch]})
-        return found
-
-    found = candidates([d for d in DOCS if near(d)])
-    fallback = False
-    if not found and places:
-        fallback, found = True, candidates(DOCS)
-    bare = query.lower()
-    for p in places:
-        bare = bare.replace(p, " ")
-    stop = ["tìm", "việc", "làm", "ở", "tại", "cho", "có", "cần", "những", "một", "vị trí", "nhân viên"]
-    keywords = [w.strip(',.?!"()') for w in bare.split()
-                if w.strip(',.?!"()') not in stop and len(w) > 1]
-
-    def score(doc):
-        title, chunk, _ = texts(doc)
-        points = 0
-        if wanted and wanted in title:
-            points += 10000
-        elif wanted and wanted in chunk:
-            points += 1000
-        if words and all(says(w, title) for w in words):
-            points += 5000
-        for w in keywords:
-            points += 100 if says(w, title) else 10 if says(w, chunk) else 0
-        return points
-
-    by_id = {d[0]: d for d in DOCS}
-    rows = [(j, d, score(by_id[j])) for j, d in found.items()]
-    if wanted or keywords:
-        rows = [r for r in rows if r[2] > 0]
-
-    def ranks(values):
-        return [sum(o < v for o in values) + (sum(o == v for o in values) + 1) / 2 for v in values]
-
-    known = [r[1] for r in rows if r[1] != float("inf")]
-    vector_ranks = [ranks(known + [r[1]])[-1] - 0.5 if r[1] != float("inf") else None for r in rows]
-    lexical_ranks = ranks([-r[2] for r in rows])
-    fused = [(-(1 / (60 + v) + 1 / (60 + x)) if v is not None else 1, r[0], r[2], fallback)
-             for r, v, x in zip(rows, vector_ranks, lexical_ranks)]
-    return [(j, s, f) for _, j, s, f in sorted(fused)[:k]], fallback
+# Worked by hand: jobs in order with their score, and whether places had to be ignored.
+# 1: job 1 has the title (10000), all its words (5000) and two of three keywords (200); job 4 all
+#    words and three keywords; job 2 the title in its text (1000), one keyword in the title (100)
+#    and one in the text (10). Titles with all words count as distance 0.
+# 2: "data" is in both titles, so distance decides; job 1 and 2 name the place.
+# 4: nothing is asked for, so distance alone decides; job 5 has none and comes last.
+# 5: "ai" is a word of job 4's title and only a part of a word ("said") in job 3.
+EXPECTED = {
+    1: ([(1, 15200), (4, 5300), (2, 1110)], False),
+    2: ([(1, 100), (2, 100)], False),
+    3: ([(3, 10)], True),
+    4: ([(3, 0), (4, 0), (2, 0), (1, 0), (5, 0)], False),
+    5: ([(4, 100)], False),
+    6: ([], False),
+}
 
 
 def prepared(spark):
-    rows = [r + (VECTORS[r[0]],) for r in REQUESTS]
-    df = spark.createDataFrame(rows, "query_id long, user_query string, cv_text string, job_title string, "
-                                     "locations array<string>, embedding array<double>")
+    df = spark.createDataFrame(REQUESTS, "query_id long, user_query string, cv_text string, job_title string, "
+                                         "locations array<string>, embedding array<double>")
     return search.prepare_requests(df)
 
 
-@pytest.mark.parametrize("branch,block", [(300, 512), (7, 512), (7, 3)])
-def test_hybrid_search_equals_brute_force(spark, branch, block):
-    docs = spark.createDataFrame(DOCS, DOC_SCHEMA).repartition(5)
-    result = search.hybrid_search(prepared(spark), docs, 10, branch, block)
-    got = {}
+def found(result):
+    rows = {}
     for r in result.rows.orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.job_id, r.lexical_score, r.is_fallback))
-    scopes = {r.query_id: r.is_fallback for r in result.scopes.collect()}
-    for request in REQUESTS:
-        expected, fallback = brute_force(request, 10, branch)
-        assert got.get(request[0], []) == expected, request
-        assert scopes[request[0]] == fallback
+        rows.setdefault(r.query_id, []).append((r.job_id, r.lexical_score))
+    return {r.query_id: (rows.get(r.query_id, []), r.is_fallback) for r in result.scopes.collect()}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_hybrid_search_gives_the_worked_results(spark, block):
+    docs = spark.createDataFrame(DOCS, DOC_SCHEMA).repartition(3)
+    assert found(search.hybrid_search(prepared(spark), docs, 10, 300, block)) == EXPECTED
+
+
+def test_short_branches_and_results(spark):
+    docs = spark.createDataFrame(DOCS, DOC_SCHEMA).repartition(3)
+    one = found(search.hybrid_search(prepared(spark), docs, 10, 1))
+    assert one[1] == ([(1, 15200)], False)  # nearest, and lowest id of those with all words
+    assert one[4] == ([(3, 0)], False)
+    assert found(search.hybrid_search(prepared(spark), docs, 2))[1] == ([(1, 15200), (4, 5300)], False)
 
 
 def test_single_request_branches(spark):
     docs = spark.createDataFrame(DOCS, DOC_SCHEMA)
-    found = search.keyword_search(docs, ["data", "ai"], ["hn"], 5).collect()
-    expected = [d[0] for d in DOCS if all(says(w, d[1].lower()) for w in ("data", "ai"))
-                and any(says("hn", t.lower().replace("_", " ")) for t in (d[1], d[2], d[5]))]
-    assert [r.job_id for r in found] == expected[:5]
-    vector = VECTORS[1]
-    near = [r.job_id for r in search.vector_search(docs, vector, [], 4).collect()]
-    assert near == [r.job_id for r in nearest(
-        docs, spark.createDataFrame([(1, vector)], "query_id long, embedding array<double>"), 4
-    ).orderBy("rank").collect()]
+    assert [r.job_id for r in search.keyword_search(docs, ["data"], ["hà nội"], 5).collect()] == [1, 2]
+    assert [r.job_id for r in search.keyword_search(docs, ["data", "ai"], [], 5).collect()] == [4]
+    near = [r.job_id for r in search.vector_search(docs, [2.0, 1.0], [], 4).collect()]
+    assert near == [2, 4, 1, 3]
+    asked = spark.createDataFrame([(1, [2.0, 1.0])], "query_id long, embedding array<double>")
+    assert near == [r.job_id for r in nearest(docs, asked, 4).orderBy("rank").collect()]
+
+
+def test_documents_are_scanned_once_for_all_blocks(spark, tmp_path):
+    spark.createDataFrame(DOCS, DOC_SCHEMA).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    asked = prepared(spark).select("query_id", "embedding")
+    plan = nearest(docs, asked, 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_requests_and_chunks_are_normalized_alike(spark):
+    df = spark.createDataFrame([(1, "java, sql!", "", "", [], "Java, SQL!")],
+                               "query_id long, user_query string, cv_text string, job_title string, "
+                               "locations array<string>, chunk string")
+    row = search.prepare_requests(df).select("search_text", text.normalize(F.col("chunk")).alias("c")).first()
+    assert row.search_text == row.c == "java sql"
+
+    def segment(c):
+        return F.regexp_replace(c, "java sql", "java_sql")
+
+    assert search.prepare_requests(df, segment=segment).first().search_text == "java_sql"
 
 
 def test_too_many_requests_are_refused_for_one_block(spark):
@@ -194,3 +149,19 @@ def test_embedding(spark):
         [5.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
     with pytest.raises(Exception, match="must have 384"):
         require_size(spark.createDataFrame([([1.0],)], "embedding array<float>")).collect()
+
+
+def test_encoder_is_built_once_per_worker():
+    from careerlake.operators.embed import held_encoder
+
+    built = []
+
+    def factory():
+        built.append(1)
+        return lambda texts: texts
+
+    for _ in range(3):
+        held_encoder("one", factory)
+    assert len(built) == 1
+    held_encoder("two", factory)
+    assert len(built) == 2
