@@ -316,8 +316,8 @@ _TITLE_FILTER = " AND ".join(f"({_mentions('tl', 'tp', chr(39) + w + chr(39))})"
 ORACLE = {
     "vector_codec": """SELECT vec_id, len(embedding) AS dimension,
         round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings""",
-    "embed_text": """SELECT doc_id, 384 AS size,
-          CASE WHEN words = 0 THEN 0.0 ELSE 1.0 END AS length, true AS orderless, true AS bounded
+    "embed_text": """SELECT doc_id, CAST(384 AS BIGINT) AS size,
+          CAST(CASE WHEN words = 0 THEN 0 ELSE 1 END AS DOUBLE) AS length, true AS orderless, true AS bounded
         FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words
               FROM documents)""",
     "embedded_requests": f"""WITH counted AS (
