@@ -207,9 +207,14 @@ def _encoder(path: str) -> Encoder:
 
 
 def gathered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text`` with documents of a common least chunk side by side."""
+    """``doc_id, text`` with documents of a common least chunk side by side.
+
+    Long texts have many chunks and so small least hashes; hashing these once more spreads long
+    texts over all ranges.
+    """
     return docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), least_chunk(F.col(text)).alias("near")
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+        F.xxhash64(least_chunk(F.col(text))).alias("near"),
     ).repartitionByRange("near", "doc_id").sortWithinPartitions("near").select("doc_id", "text")
 
 
