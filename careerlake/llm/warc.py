@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import keep_until_exit, written
+from careerlake.llm.common import keep_until_exit, sampled, written
 from careerlake.sources import files
 
 SKIPPABLE = 0x184D2A5D
@@ -105,14 +105,14 @@ def _record(row: dict) -> bytes:
 
 
 def dictionary(pages: DataFrame, payload: str = "html", samples: int = SAMPLES) -> bytes:
-    """A dictionary from a bounded sample of records, chosen by hash: their heads, the beginnings
+    """A dictionary from a random sample of about ``samples`` records: their heads, the beginnings
     of their payloads, and for some the head of a revisit."""
     body = _payload(F.col(payload))
     rows = (
-        pages.select(
+        sampled(pages, samples, pages.count()).select(
             "page_id", "url", F.sha1(body).alias("digest"), F.length(body).cast("long").alias("size"),
             F.substring(body, 1, SAMPLE_BYTES).alias("body"),
-        ).orderBy(F.xxhash64("digest", "url"), "page_id").limit(samples).collect()
+        ).collect()
     )
     heads = []
     for n, row in enumerate(rows):
@@ -244,7 +244,8 @@ def read(spark: SparkSession, archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    named = archives.select("archive").distinct().repartition("archive")
+    named = archives.select("archive").distinct()
+    named = named.repartitionByRange(max(1, named.count()), "archive")  # a number, so that AQE keeps them apart
     return named.mapInArrow(
         parse,
         "page_id long, url string, record_type string, refers_to long, payload_digest string, "
