@@ -40,17 +40,24 @@ BLOCK = 4096  # fingerprints of a key that one task compares at a time
 FEW = 32  # groups up to this size return their links as they are
 
 
-def _fingerprint(text: str | None) -> int:
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's shingles of ``width`` words, in order; too few words make one, none none."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII spaces count
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(SHINGLE, len(words)) - 1
-    spans = zip(starts[: len(words) - width].tolist(), ends[width:].tolist(), strict=True)
+    last = min(width, len(words)) - 1
+    spans = zip(starts[: len(words) - last].tolist(), ends[last:].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def _fingerprint(text: str | None) -> int:
+    hashes = shingle_hashes(text, SHINGLE)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
