@@ -48,7 +48,8 @@ _URL = re.compile(r"(?<![!-~])[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 _ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
 _UNICODE = re.compile(r"(?<![!-~])[!-~]*\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})[!-~]*")
 _CODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_PART = re.compile(r"(?<=/)[A-Za-z0-9+_-]{16,}={0,2}\Z")  # of a run that is a path: what follows the last slash
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\x80-\U0010ffff]*")
 
 
@@ -172,6 +173,14 @@ def _decoded(m: re.Match, layer: Layer | None) -> tuple[Layer | None, tuple[int,
     return (Layer(text, how, span, True) if text else None), None
 
 
+def _tokens(text: str) -> Iterator[re.Match]:
+    """Base64 tokens of a text; of a run with slashes, also the part after the last one."""
+    for m in _BASE64.finditer(text):
+        yield m
+        if "/" in m[0] and (part := _PART.search(text, m.start(), m.end())):
+            yield part
+
+
 def findings(text: str) -> list[tuple[int, int, str]]:
     """All findings of a text and of its layers: start, end and kind, in order."""
     found = set(base_matches(text))
@@ -186,7 +195,7 @@ def findings(text: str) -> list[tuple[int, int, str]]:
             below += [x for m in _URL.finditer(here) if (x := _escaped(m, layer, "url"))]
         if "\\" in here:
             below += [x for m in _UNICODE.finditer(here) if (x := _escaped(m, layer, "unicode"))]
-        for m in _BASE64.finditer(here):
+        for m in _tokens(here):
             new, oversize = _decoded(m, layer)
             if new:
                 below.append(new)

@@ -60,6 +60,14 @@ def test_opaque_layers_map_to_their_token(inner, how):
     assert text[found[0][0] : found[0][1]] == inner
 
 
+@pytest.mark.parametrize("before", ["config=", "https://h.org/?d=", "h.org/dl/", "https://h.org/a/b/longer-path-segment/", "x=y&d="])
+@pytest.mark.parametrize("data", [SECRET.encode(), b"password = hunter2secret", gzip.compress(SECRET.encode(), mtime=0)])
+def test_tokens_after_equals_signs_and_slashes(before, data):
+    token = base64.urlsafe_b64encode(data).decode()
+    found = [f for f in secrets.findings(f"see {before}{token} end") if f[2].startswith("assign@base64")]
+    assert [f[:2] for f in found] == [(4 + len(before), 4 + len(before) + len(token))]
+
+
 def test_escapes_map_to_their_characters():
     text = "see x?tok%65n%3Dsecretvalue9&b=1 end"
     assert (6, 28, "assign@url") in secrets.findings(text)
