@@ -49,7 +49,7 @@ _ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
 _UNICODE = re.compile(r"(?<![!-~])[!-~]*\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})[!-~]*")
 _CODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-_PART = re.compile(r"(?<=/)[A-Za-z0-9+_-]{16,}={0,2}\Z")  # of a run that is a path: what follows the last slash
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\x80-\U0010ffff]*")
 
 
@@ -81,12 +81,9 @@ class Layer:
         return self.places[start][0], self.places[end - 1][1]
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if _PLAIN.fullmatch(text) else None
+def _readable(data: bytes) -> str:
+    """Bytes as text; what is no UTF-8 becomes replacement characters, so that the rest is scanned."""
+    return data.decode("utf-8", "replace")
 
 
 def _escaped(m: re.Match, layer: Layer | None, how: str) -> Layer | None:
@@ -146,20 +143,34 @@ def _unpack(data: bytes) -> tuple[bytes | None, bool]:
     try:
         out = opener.decompress(data, LAYER_BYTES + 1)
     except (zlib.error, OSError, EOFError, ValueError):
-        return None, False
-    return (None, True) if len(out) > LAYER_BYTES else (out, False)
+        out = _until_damage(data)
+    return (None, True) if len(out) > LAYER_BYTES else (out or None, False)
+
+
+def _until_damage(data: bytes) -> bytes:
+    """What a damaged stream unpacks to before its damage."""
+    opener = bz2.BZ2Decompressor() if data[:3] == b"BZh" else zlib.decompressobj(wbits=47)
+    out = bytearray()
+    try:
+        for at in range(len(data)):
+            out += opener.decompress(data[at : at + 1], LAYER_BYTES + 1 - len(out))
+            if len(out) > LAYER_BYTES:
+                break
+    except (zlib.error, OSError, EOFError, ValueError):
+        pass
+    return bytes(out)
 
 
-def _decoded(m: re.Match, layer: Layer | None) -> tuple[Layer | None, tuple[int, int] | None]:
+def _decoded(start: int, end: int, token: str, layer: Layer | None) -> tuple[Layer | None, tuple[int, int] | None]:
     """A base64 token's text, through any number of compressions; or the span of an oversize one."""
-    token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    token = token.rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
-        return None, None
+        token = token[:-1]
     try:
         data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
     except binascii.Error:
         return None, None
-    span = layer.span(m.start(), m.end()) if layer else (m.start(), m.end())
+    span = layer.span(start, end) if layer else (start, end)
     how, seen = (f"{layer.how}+" if layer else "") + "base64", set()
     while True:
         seen.add(hashlib.sha256(data).digest())
@@ -173,12 +184,45 @@ def _decoded(m: re.Match, layer: Layer | None) -> tuple[Layer | None, tuple[int,
     return (Layer(text, how, span, True) if text else None), None
 
 
-def _tokens(text: str) -> Iterator[re.Match]:
-    """Base64 tokens of a text; of a run with slashes, also the part after the last one."""
+def _promising(head: str) -> bool:
+    """Whether a token's first characters decode to plain text or to the mark of a stream."""
+    data = base64.b64decode(head[:12].replace("-", "+").replace("_", "/"))
+    if data.startswith((b"\x1f\x8b", b"\x78", b"BZh")):
+        return True
+    text = data.decode("utf-8", "ignore")
+    return len(text.encode()) > 6 and _PLAIN.fullmatch(text) is not None
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    """Base64 tokens of a text: start, end and characters.
+
+    A run with slashes may be a path: its parts between slashes are tokens too, and so is all that
+    follows a slash if it begins like one. Lines with single breaks between them are joined: all,
+    and each block of lines of one length with the line that ends it.
+    """
     for m in _BASE64.finditer(text):
-        yield m
-        if "/" in m[0] and (part := _PART.search(text, m.start(), m.end())):
-            yield part
+        yield m.start(), m.end(), m[0]
+        if "/" not in m[0]:
+            continue
+        for part in re.finditer(r"[^/]{16,}", m[0]):
+            yield m.start() + part.start(), m.start() + part.end(), part[0]
+        for slash in re.finditer(r"/(?=[^=]{16})", m[0]):
+            if "/" in m[0][slash.end() :] and _promising(m[0][slash.end() : slash.end() + 12]):
+                yield m.start() + slash.end(), m.end(), m[0][slash.end() :]
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in re.finditer(r"[^\r\n]+", m[0])]
+        blocks, first = {(0, len(lines))}, 0
+        for n, (_, _, line) in enumerate(lines):
+            if n == first:
+                continue
+            width = len(lines[first][2])
+            if len(line) != width or n + 1 == len(lines):
+                end = n + 1 if len(line) <= width else n
+                if end - first > 1:
+                    blocks.add((first, end))
+                first = n
+        for i, j in sorted(blocks):
+            yield lines[i][0], lines[j - 1][1], "".join(x[2] for x in lines[i:j])
 
 
 def findings(text: str) -> list[tuple[int, int, str]]:
@@ -195,8 +239,8 @@ def findings(text: str) -> list[tuple[int, int, str]]:
             below += [x for m in _URL.finditer(here) if (x := _escaped(m, layer, "url"))]
         if "\\" in here:
             below += [x for m in _UNICODE.finditer(here) if (x := _escaped(m, layer, "unicode"))]
-        for m in _tokens(here):
-            new, oversize = _decoded(m, layer)
+        for start, end, token in _tokens(here):
+            new, oversize = _decoded(start, end, token, layer)
             if new:
                 below.append(new)
             if oversize:

@@ -65,7 +65,26 @@ def test_opaque_layers_map_to_their_token(inner, how):
 def test_tokens_after_equals_signs_and_slashes(before, data):
     token = base64.urlsafe_b64encode(data).decode()
     found = [f for f in secrets.findings(f"see {before}{token} end") if f[2].startswith("assign@base64")]
-    assert [f[:2] for f in found] == [(4 + len(before), 4 + len(before) + len(token))]
+    assert (4 + len(before), 4 + len(before) + len(token)) in [f[:2] for f in found]
+
+
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n")])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+@pytest.mark.parametrize("around", ["", "a-line-of-its-own-before\n"])
+def test_wrapped_tokens_are_joined(width, end, pack, around):
+    rng = random.Random(width)
+    plain = "".join(rng.choice("qwrtzu io") for _ in range(50)) + " " + SECRET + " " + "".join(rng.choice("qwrtzu") for _ in range(200))
+    token = packed(pack(plain.encode()))
+    wrapped = end.join(token[i : i + width] for i in range(0, len(token), width))
+    text = f"see:\n{around}{wrapped}\n\nend"
+    at = text.index(wrapped)
+    assert any(f[:2] == (at, at + len(wrapped)) and f[2].startswith("assign@base64") for f in secrets.findings(text))
+
+
+@pytest.mark.parametrize("data", [b"\x00" + SECRET.encode(), b"\xff\xfe " + SECRET.encode(), SECRET.encode() + b"\n\x07\x80"])
+def test_layers_with_odd_bytes_are_scanned_and_unwrapped(data):
+    assert any(f[2] == "assign@base64" for f in secrets.findings(f"x {packed(data)} y"))
+    assert any(f[2] == "assign@base64+base64" for f in secrets.findings(f"x {packed(b'\x01 ' + packed(data).encode())} y"))
 
 
 def test_escapes_map_to_their_characters():
