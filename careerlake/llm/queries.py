@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerlake.llm import bpe, contamination, grading, pii, quality, secrets, sharding, simhash, urls, warc
+from careerlake.llm import (
+    bpe, contamination, grading, hardneg, pii, quality, secrets, sharding, simhash, urls, warc,
+)
 from careerlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,11 +105,23 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    whole = table(spark, folder, "embeddings").filter(
+        ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    )
+    rows = whole.select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double"))).alias("vector"),
+    )
+    return hardneg.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_warc, op2_bpe, op3_pii, op4_secrets, op5_contamination, op6_quality, op7_shards, op8_urls,
-        op9_grades, op10_simhash,
+        op9_grades, op10_simhash, op13_hard_negatives,
     )
 }
 
@@ -158,4 +172,24 @@ b AS (SELECT *, len(ls) - len(list_distinct(ls)) n_dup_lines,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) n_repeat_words,
        bits & 3 <> 0 base_failed, bits = 0 kept, CAST(bits AS BIGINT) bits
 FROM b""",
+    "op13_hard_negatives": """
+WITH rows AS (
+    SELECT vec_id id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.id anchor_id, r.id, a.label = r.label same,
+           CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) score
+    FROM rows a JOIN rows r ON a.id % 50 = 0 AND a.id <> r.id),
+pos AS (
+    SELECT anchor_id, id positive_id, score positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS "rank",
+       id negative_id, positive_score, score negative_score
+FROM pos p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT same
+     AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY "rank" <= 3""",
 }
