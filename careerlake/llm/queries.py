@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerlake.llm import (
-    bpe, contamination, grading, hardneg, pii, quality, secrets, sharding, simhash, urls, warc,
+    bpe, contamination, grading, hardneg, periodic, pii, quality, secrets, sharding, simhash, urls, warc,
 )
-from careerlake.llm.common import table
+from careerlake.llm.common import table, words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -105,6 +105,26 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of texts of which about a tenth end in repeats; a null id repeats nothing."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    n, h = F.size(words(F.col("text"))), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    numbered = docs.withColumn("n", F.when(h % 10 == 0, n).otherwise(0)).withColumn("g", g)
+    at = F.col("g") % F.col("n")
+    period = 1 + F.floor((F.col("n") - at) / (3 + F.col("g") % 8))
+    changed = numbered.withColumn("text", F.when(F.col("n") > 0, periodic.repeated(F.col("text"), at, period)).otherwise(F.col("text")))
+    found = periodic.with_runs(changed.select("doc_id", "text"))
+    best = periodic.longest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.floor(1000 * best.length / best.period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     whole = table(spark, folder, "embeddings").filter(
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -121,7 +141,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_warc, op2_bpe, op3_pii, op4_secrets, op5_contamination, op6_quality, op7_shards, op8_urls,
-        op9_grades, op10_simhash, op13_hard_negatives,
+        op9_grades, op10_simhash, op11_runs, op13_hard_negatives,
     )
 }
 
