@@ -53,6 +53,13 @@ def sampled(df: DataFrame, wanted: int, total: int, seed: int = 7) -> DataFrame:
     return df if total <= wanted else df.filter(F.rand(seed) < wanted / total)
 
 
+def drawn(df: DataFrame, key: Column, wanted: int, total: int, seed: int = 7) -> DataFrame:
+    """About ``wanted`` of the ``total`` rows, chosen by a hash of ``key``: the same rows whatever
+    the files and tasks are. Rows of one key are drawn together."""
+    share = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return df if total <= wanted else df.filter(share < wanted / total)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerlake.llm import (
-    bpe, contamination, grading, hardneg, periodic, pii, quality, secrets, sharding, simhash, urls, warc,
+    bpe, contamination, grading, hardneg, periodic, pii, quality, secrets, sharding, simhash, toxicity, urls, warc,
 )
 from careerlake.llm.common import table, words
 
@@ -125,6 +125,16 @@ def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(~held_out)
+    found = toxicity.scored(docs, toxicity.train(docs, labels))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     whole = table(spark, folder, "embeddings").filter(
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -141,7 +151,8 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_warc, op2_bpe, op3_pii, op4_secrets, op5_contamination, op6_quality, op7_shards, op8_urls,
-        op9_grades, op10_simhash, op11_runs, op13_hard_negatives,
+        op9_grades, op10_simhash, op11_runs, op12_toxicity,
+        op13_hard_negatives,
     )
 }
 
