@@ -10,7 +10,7 @@ from careerlake.llm import quality
 from tests.conftest import SMALL
 from tests.llm.test_contamination import brute as leaks
 from tests.llm.test_pii import brute as personal
-from tests.llm.test_simhash import brute_print, groups
+from tests.llm.test_similar import brute_groups
 
 
 def masked(text):
@@ -27,7 +27,7 @@ def expected(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = {r.doc_id: r.text for r in quality.accepted(docs).collect()}  # held against brute force of its own
     ids = sorted(kept)
-    tops = groups([brute_print(kept[i]) for i in ids])
+    tops = brute_groups([kept[i] for i in ids])
     kept = {ids[i]: kept[ids[i]] for i in set(tops)}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     leaked = {d for d, *_ in leaks(list(kept.items()), items)}
