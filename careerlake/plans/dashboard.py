@@ -77,7 +77,7 @@ def kpi_labels(row: DataFrame) -> DataFrame:
     )
 
 
-def _largest(counts: DataFrame, name: str, n: int | None = None) -> DataFrame:
+def largest(counts: DataFrame, name: str, n: int | None = None) -> DataFrame:
     ordered = counts.orderBy(F.desc("jobs"), F.asc_nulls_last(name))
     return ordered if n is None else ordered.limit(n)
 
@@ -89,14 +89,14 @@ def _jobs_per_value(star: Star, filters: Filters, bridge: DataFrame, name: str)
 
 def top_skills(star: Star, filters: Filters = Filters(), n: int = TOP_SKILLS) -> DataFrame:
     """Skills with the most jobs (R2)."""
-    return _largest(_jobs_per_value(star, filters, star.dim_skills, "skill_name"), "skill_name", n)
+    return largest(_jobs_per_value(star, filters, star.dim_skills, "skill_name"), "skill_name", n)
 
 
 def level_distribution(star: Star, filters: Filters = Filters()) -> DataFrame:
     """Jobs per level."""
     jobs = matching_jobs(star, filters, ["job_level"])
     counts = jobs.groupBy("job_level").agg(F.count_distinct("job_id").alias("jobs"))
-    return _largest(counts, "job_level")
+    return largest(counts, "job_level")
 
 
 def top_companies(star: Star, filters: Filters = Filters(), n: int = TOP_COMPANIES) -> DataFrame:
@@ -106,7 +106,7 @@ def top_companies(star: Star, filters: Filters = Filters(), n: int = TOP_COMPANI
     names = star.dim_companies.select("company_id", "company_name")
     counts = per_id.join(names, "company_id").groupBy("company_name").agg(
         F.sum("jobs").alias("jobs"))
-    return _largest(counts, "company_name", n)
+    return largest(counts, "company_name", n)
 
 
 def category_salaries(star: Star, filters: Filters = Filters(), n: int = TOP_CATEGORIES
@@ -152,11 +152,16 @@ def treemap(star: Star, filters: Filters = Filters(), industries: int = TOP_INDU
     named = star.dim_industries.filter(F.col("industry_name").isNotNull())
     pairs = per_id.join(named, "industry_id").groupBy("industry_name", "category_name").agg(
         F.sum("jobs").alias("jobs"))
-    largest = (
+    return shaded(pairs, industries, categories)
+
+
+def shaded(pairs: DataFrame, industries: int, categories: int) -> DataFrame:
+    """Largest categories of the largest industries, from their common jobs."""
+    most = (
         pairs.groupBy("industry_name").agg(F.sum("jobs").alias("industry_jobs"))
         .orderBy(F.desc("industry_jobs"), F.asc("industry_name")).limit(industries)
     )
-    kept = pairs.join(largest.select("industry_name"), "industry_name", "left_semi")
+    kept = pairs.join(most.select("industry_name"), "industry_name", "left_semi")
     ranked = top_k(kept, ["industry_name"], [F.desc("jobs"), F.asc("category_name")], categories)
     return ranked.withColumn("shade", F.col("rank") - 1).drop("rank").orderBy(
         F.asc("industry_name"), F.desc("jobs"), F.asc("category_name"))
@@ -165,7 +170,12 @@ def treemap(star: Star, filters: Filters = Filters(), industries: int = TOP_INDU
 def top_locations(star: Star, filters: Filters = Filters(), n: int = TOP_LOCATIONS) -> DataFrame:
     """Locations with the most jobs and their share among those shown."""
     places = star.dim_locations.filter(F.col("location_name").isNotNull())
-    top = _largest(_jobs_per_value(star, filters, places, "location_name"), "location_name", n)
+    return shares(_jobs_per_value(star, filters, places, "location_name"), n)
+
+
+def shares(counts: DataFrame, n: int) -> DataFrame:
+    """The locations with the most jobs, and their share among them."""
+    top = largest(counts, "location_name", n)
     # The window runs over the few rows of the report.
     total = F.sum("jobs").over(Window.partitionBy())
     share = F.round(100 * F.col("jobs") / total).cast("int")

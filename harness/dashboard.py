@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from careerlake.plans import dashboard
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from careerlake.plans import dashboard, summaries
 from careerlake.plans.star import Filters
+from careerlake.session import scratch_path
 from harness import roles
 from harness.roles import with_star
 
@@ -31,7 +36,25 @@ def _sorted_options(spark, sf):
     return dashboard.sorted_options(dashboard.filter_options(roles.star(spark, sf)))
 
 
+def _summary(report, **options):
+    """A report over the summaries of two loads, the second of which brings half of the first again."""
+
+    def query(spark, sf):
+        star, path = roles.star(spark, sf), scratch_path(spark, "summaries")
+        for jobs in (F.col("job_id") % 4 < 2, F.col("job_id") % 4 > 0):
+            part = replace(star, fact_job_postings=star.fact_job_postings.filter(jobs))
+            summaries.summarize(part).append(path)
+        return report(summaries.Summaries.read(spark, path), **options)
+
+    return query
+
+
 QUERIES = {
+    "kpi_summary": _summary(summaries.kpi),
+    "kpi_summary_filtered": _summary(summaries.kpi, filters=CHOSEN),
+    "top_skills_summary": _summary(summaries.top_skills, filters=_PLACE),
+    "salaries_summary": _summary(summaries.salary_by_experience),
+    "treemap_summary": _summary(summaries.treemap),
     "kpi": _report(dashboard.kpi),
     "kpi_unweighted": _report(dashboard.kpi, weighted=False),
     "kpi_filtered": _report(dashboard.kpi, filters=CHOSEN),
@@ -199,3 +222,8 @@ ORACLE = {
           UNION ALL SELECT DISTINCT 'level', job_level FROM jd
           UNION ALL SELECT DISTINCT 'location', location_name FROM loc)"""),
 }
+
+ORACLE |= {f"{name}_summary": ORACLE[name] for name in ("kpi", "treemap")} | {
+    "kpi_summary_filtered": ORACLE["kpi_filtered"], "top_skills_summary": ORACLE["top_skills_by_location"],
+    "salaries_summary": ORACLE["salary_by_experience"],
+}
