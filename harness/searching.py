@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from careerlake.functions import matching, text, vectors
 from careerlake.functions.wordlists import QUERY_STOP_WORDS
+from careerlake.operators import postings
 from careerlake.operators.embed import embed_hashed, embed_with
 from careerlake.operators.nearest import BRANCH_SIZE, nearest
 from careerlake.operators.ranking import average_rank, fused_score
 from careerlake.plans import prompts, search
+from careerlake.session import scratch_path
 from harness import roles
 from harness.cleaning import sql_normalize
 from harness.roles import table, with_search
@@ -62,6 +64,25 @@ def keyword_search(spark, sf):
     return found.select("job_id", "job_title", "vector_distance")
 
 
+def _title_requests(spark, sf):
+    """Every part name as a request; places vary by part."""
+    key, first = F.col("p_partkey"), F.substring_index("p_name", " ", 1)
+    return table(spark, sf, "part").select(
+        key.alias("query_id"), matching.split_words(F.lower("p_name")).alias("title_words"),
+        search.place_terms(
+            F.when(key % 4 == 1, F.array(first)).when(key % 4 == 2, F.array(F.lit("The"), F.lit("small")))
+            .when(key % 4 == 3, F.array(F.lit("nowhere land"), F.lit("nll"))).otherwise(F.array())).alias("places"))
+
+
+def keyword_table(spark, sf):
+    """All part names as keyword requests, through an index built by two loads."""
+    docs, path = roles.search_documents(spark, sf), scratch_path(spark, "titles")
+    for load in (0, 1):
+        postings.index_titles(docs.filter(F.col("job_id") % 2 == load)).append(path)
+    found = postings.keyword_table(_title_requests(spark, sf), docs, postings.TitleIndex.read(spark, path))
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "job_id")
+
+
 def query_keywords(spark, sf):
     """Keywords of every user message, with one place name taken out."""
     said = table(spark, sf, "conversations").filter("role = 'user'")
@@ -213,6 +234,7 @@ QUERIES = {
     "cosine_pairs": cosine_pairs,
     "vector_search": vector_search,
     "keyword_search": keyword_search,
+    "keyword_table": keyword_table,
     "query_keywords": query_keywords,
     "intent_parse": intent_parse,
     "lexical_score": lexical_score,
@@ -347,6 +369,16 @@ ORACLE = {
     "keyword_search": with_search(f"""SELECT job_id, job_title, 0.0::DOUBLE AS vector_distance
         FROM forms WHERE ({_PLACE_FILTER}) AND {_TITLE_FILTER} ORDER BY job_id LIMIT 300""",
         {"forms": _FORMS}),
+    "keyword_table": with_search(f"""SELECT query_id, job_id,
+          row_number() OVER (PARTITION BY query_id ORDER BY job_id) AS rank
+        FROM asked_titles, forms
+        WHERE len(list_filter(words, lambda w: NOT ({_mentions('tl', 'tp', 'w')}))) = 0
+          AND (len(places) = 0 OR len(list_filter(places, lambda p: {_near('p')})) > 0)
+        QUALIFY rank <= 300""",
+        {"forms": _FORMS, "asked_titles": """SELECT p_partkey AS query_id,
+          list_filter(string_split(lower(p_name), ' '), lambda w: w <> '') AS words,
+          CASE p_partkey % 4 WHEN 1 THEN [lower(split_part(p_name, ' ', 1))] WHEN 2 THEN ['the', 'small']
+            WHEN 3 THEN ['nowhere land', 'nll'] ELSE CAST([] AS VARCHAR[]) END AS places FROM part"""}),
     "query_keywords": f"""SELECT conv_id, turn,
         array_to_string({_keywords("replace(lower(text), 'the', ' ')")}, '|') AS keywords,
         'red widget ' || text || CASE WHEN text = '' THEN '' ELSE ' ' ||
