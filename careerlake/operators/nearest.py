@@ -1,93 +1,126 @@
-"""Exact candidate search of a block of requests over any number of documents.
+"""Exact candidate search of any number of requests over any number of documents.
 
-The documents are scanned once. A task compares its documents with a block of
-requests as a matrix product and keeps only the best few per request, so it never
-emits request-document pairs. Place and title terms are matched in the JVM before;
-texts do not travel to Python.
+Documents are packed into blocks and requests into chunks. Every chunk meets every block through an
+equi-join on stripes of blocks, so requests travel as rows, however many there are, and the documents
+are read once. A task compares a block with a chunk as matrix products and keeps only the best few per
+request, so it never emits request-document pairs. Search terms are looked up beforehand, all in one
+pass over each text; texts do not take part in the comparison.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset
-import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from careerlake.functions.matching import term_hits
-from careerlake.operators.ranking import number_rows, top_k
-from careerlake.session import scratch_path
+from careerlake.functions.matching import search_terms
+from careerlake.operators.ranking import top_k
 
 # Fixed value: candidates each branch may give to the ranking.
 BRANCH_SIZE = 300
 
-# Requests held by every task at once. Vectors and terms of this many requests are a
-# few megabytes; larger request tables are searched block by block.
-BLOCK_SIZE = 512
-
-
-@dataclass
-class RequestBlock:
-    """A bounded set of requests as plain values, and the type of their ids."""
-
-    ids: list
-    vectors: np.ndarray
-    id_type: T.DataType
-    places: list[list[str]] = field(default_factory=list)
-    words: list[list[str]] = field(default_factory=list)
-
-    @classmethod
-    def collect(cls, requests: DataFrame, limit: int = BLOCK_SIZE) -> "RequestBlock":
-        """Fetch at most ``limit`` requests; more are refused.
-
-        ``requests`` has ``query_id`` and ``embedding`` and may have the arrays
-        ``places`` and ``title_words``.
-        """
-        have = set(requests.columns)
-        empty = F.array().cast("array<string>")
-        rows = requests.select(
-            "query_id", "embedding",
-            (F.col("places") if "places" in have else empty).alias("places"),
-            (F.col("title_words") if "title_words" in have else empty).alias("title_words"),
-        ).orderBy("query_id").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"more than {limit} requests: search them block by block")
-        return cls(
-            [r.query_id for r in rows],
-            np.array([r.embedding for r in rows], dtype=np.float64).reshape(
-                len(rows), len(rows[0].embedding) if rows else 1),
-            requests.schema["query_id"].dataType,
-            [list(r.places or []) for r in rows],
-            [list(r.title_words or []) for r in rows],
-        )
-
-    @property
-    def size(self) -> int:
-        return len(self.ids)
-
-    def place_terms(self) -> list[str]:
-        return sorted({t for terms in self.places for t in terms})
-
-    def word_terms(self) -> list[str]:
-        return sorted({t for terms in self.words for t in terms})
-
-
-def request_blocks(requests: DataFrame, limit: int = BLOCK_SIZE) -> Iterator[DataFrame]:
-    """Cut a request table of any size into tables of at most ``limit`` requests."""
-    total = requests.count()
-    if total <= limit:
-        yield requests
-        return
-    numbered = number_rows(requests, [F.col("query_id")], "_n")
-    blocked = numbered.withColumn("_block", F.floor((F.col("_n") - 1) / limit))
-    for block in range((total + limit - 1) // limit):
-        yield blocked.filter(F.col("_block") == block).drop("_n", "_block")
+BLOCK = 4096  # documents packed together
+CHUNK = 512  # requests packed together
+TERMS = 100_000  # terms of one automaton; more are looked up in several passes
+
+NO_DISTANCE = 9.0  # stands for the missing distance to a vector without length; true ones are at most 2
+_MARKS = T.ArrayType(T.LongType())
+
+
+def term_mark(term: Column) -> Column:
+    """The number that stands for a term."""
+    return F.xxhash64(term)
+
+
+def _automaton(words: Sequence[tuple[str, int]]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for word, mark in words:
+        found.add_word(word, mark)
+    found.make_automaton()
+    return found
+
+
+def _looked_up(terms: list[Row], low: Column, padded: Column) -> Column:
+    """Marks of a bounded list of terms that a text mentions; long terms anywhere, short ones as whole words."""
+    anywhere = [(t.word, t.mark) for t in terms if t.whole is None and t.pattern is None]
+    whole = [(t.whole, t.mark) for t in terms if t.whole is not None]
+    held: list[ahocorasick.Automaton] = []  # built once per task
+
+    @F.arrow_udf(_MARKS)
+    def marks(lows: pa.Array, paddeds: pa.Array) -> pa.Array:
+        if not held:
+            held.extend([_automaton(anywhere), _automaton(whole)])
+        rows = []
+        for texts in zip(lows.to_pylist(), paddeds.to_pylist(), strict=True):
+            found = set()
+            for automaton, text in zip(held, texts, strict=True):
+                if text and len(automaton):
+                    found.update(mark for _, mark in automaton.iter(text))
+            rows.append(sorted(found))
+        return pa.array(rows, pa.list_(pa.int64()))
+
+    # Short terms that hold other characters need the boundary rule of the pattern.
+    others = [F.when(F.regexp_like(low, F.lit(t.pattern)), F.lit(t.mark)) for t in terms if t.pattern is not None]
+    return F.concat(marks(low, padded), F.array_compact(F.array(*others))) if others else marks(low, padded)
+
+
+def mentioned_marks(terms: DataFrame, texts: Sequence[Column]) -> Column:
+    """Marks of the terms (column ``term``) that any of the searchable texts mentions.
+
+    The terms are read to the driver ``TERMS`` at a time; each part is one automaton.
+    """
+    listed = terms.select("term").distinct()
+    described = listed.select(
+        F.element_at(search_terms(F.array("term")), 1).alias("t"), term_mark(F.col("term")).alias("mark")
+    ).select("t.word", "t.whole", "t.pattern", "mark")
+    rows = described.limit(TERMS + 1).collect()
+    parts = [rows]
+    if len(rows) > TERMS:
+        count = 2 * (listed.count() // TERMS + 1)  # twice as many as needed, so that no part is too large
+        parts = [described.filter(F.pmod("mark", F.lit(count)) == n).collect() for n in range(count)]
+    low = F.concat_ws("\0", *[t["low"] for t in texts])
+    padded = F.concat_ws("\0", *[t["padded"] for t in texts])
+    return F.array_distinct(F.concat(*[_looked_up(p, low, padded) for p in parts if p] or [F.array().cast("array<bigint>")]))
+
+
+def _packer(size: int, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns up to ``size`` rows into one; vectors are laid end to end."""
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = {}
+        for name in names:
+            column = pa.concat_arrays([batch.column(name) for batch in held])
+            column = column.flatten() if name == "embedding" else column
+            columns[name] = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, size - rows))
+                batch = batch.slice(size - rows)
+                rows += held[-1].num_rows
+                if rows == size:
+                    yield pack(held)
+                    held, rows = [], 0
+        if rows:
+            yield pack(held)
+
+    return packed
+
+
+def _pack(df: DataFrame, size: int, prefix: str = "") -> DataFrame:
+    schema = ", ".join(
+        f"{f.name} {'array<double>' if f.name == 'embedding' else f'array<{f.dataType.simpleString()}>'}" for f in df.schema)
+    packed = df.mapInArrow(_packer(size, df.columns), schema)
+    return packed.select(*(F.col(c).alias(f"{prefix}{c}") for c in packed.columns))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -97,154 +130,111 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
         return vectors / length
 
 
-def _membership(column: pa.Array, terms: int) -> np.ndarray:
-    """Hit lists as a (document, term) truth table."""
-    table = np.zeros((len(column), terms), dtype=bool)
-    lengths = np.diff(column.offsets.to_numpy())
-    table[np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy()] = True
+def _flags(lists: pa.ListArray, wanted: np.ndarray) -> np.ndarray:
+    """Which rows of a list column hold which of the wanted marks, as a table of zeros and ones."""
+    table = np.zeros((len(lists), len(wanted)), np.float32)
+    marks = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(wanted) and len(marks):
+        rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        at = np.minimum(np.searchsorted(wanted, marks), len(wanted) - 1)
+        met = wanted[at] == marks
+        table[rows[met], at[met]] = 1
     return table
 
 
-def _keep(kept, distances: np.ndarray, ids: np.ndarray, size: int):
-    """Merge new (distance, id) pairs into the best ``size`` so far."""
-    if kept is not None:
-        distances = np.concatenate([kept[0], distances])
-        ids = np.concatenate([kept[1], ids])
-    if len(ids) > size:
-        best = np.lexsort((ids, distances))[:size]
-        distances, ids = distances[best], ids[best]
-    return distances, ids
+def _best(distances: np.ndarray, allowed: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Request, document and distance of the best ``size`` documents of each request."""
+    seen = distances if allowed is None else np.where(allowed, distances, np.inf)
+    chosen = np.argsort(seen, axis=1, kind="stable")[:, :size]
+    values = np.take_along_axis(seen, chosen, axis=1).ravel()
+    rows, kept = np.repeat(np.arange(len(seen)), chosen.shape[1]), values < np.inf
+    return rows[kept], chosen.ravel()[kept], values[kept]
+
+
+def _compare(size: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def cell(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+        of = {name: batch.column(name)[row].values for name in batch.schema.names if name != "stripe"}
+        ids = of["job_id"].to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")  # so that places among equals follow the ids
+        units = _unit(of["embedding"].to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order])
+        count = len(of["q_query_id"])
+        wanted = _unit(of["q_embedding"].to_numpy(zero_copy_only=False).reshape(count, -1))
+        # Rounding far below float precision makes equal vectors tie exactly.
+        distances = np.nan_to_num(np.round(1.0 - wanted @ units.T, 12), nan=NO_DISTANCE)
+
+        def out(scope: str, branch: str, some: np.ndarray, found) -> pa.RecordBatch:
+            rows, places, values = found
+            return pa.RecordBatch.from_arrays(
+                [of["q_query_id"].take(pa.array(some[rows])), pa.array(ids[order[places]]),
+                 pa.array([scope] * len(rows)), pa.array([branch] * len(rows)),
+                 pa.array(np.where(values == NO_DISTANCE, np.nan, values))], schema=schema)
+
+        everyone = np.arange(count)
+        if "q_places" not in of:
+            yield out("wide", "vector", everyone, _best(distances, None, size))
+            return
+        sizes = {side: of[f"q_{side}"].value_lengths().to_numpy(zero_copy_only=False) for side in ("places", "words")}
+        met = {}
+        for side in ("places", "words"):
+            used = np.unique(of[f"q_{side}"].flatten().to_numpy(zero_copy_only=False))
+            met[side] = _flags(of[f"q_{side}"], used) @ _flags(of[side].take(pa.array(order)), used).T
+        near = (met["places"] > 0) | (sizes["places"] == 0)[:, None]
+        titled = met["words"] == sizes["words"][:, None]
+        placed, worded = sizes["places"] > 0, sizes["words"] > 0
+        level = np.zeros_like(distances)
+        for scope, some, mask in (("near", np.ones(count, bool), near), ("wide", placed, np.ones_like(near))):
+            yield out(scope, "vector", everyone[some], _best(distances[some], mask[some], size))
+            asked = some & worded
+            yield out(scope, "keyword", everyone[asked], _best(level[asked], (mask & titled)[asked], size))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from cell(batch, row)
 
+    return compared
 
-def local_candidates(docs: DataFrame, block: RequestBlock, size: int = BRANCH_SIZE,
-                     place_texts: Sequence[Column] = (), title: Column | None = None
-                     ) -> DataFrame:
-    """Best documents per request and task, for each scope and branch.
 
-    Scope ``near`` honours the place terms, ``wide`` ignores them and exists only for
-    requests that name places. Branch ``vector`` takes the smallest cosine distance,
-    ``keyword`` the smallest ids among titles with all wanted words, at distance 0.
-    Texts are given in searchable form.
-    """
-    places, words = block.place_terms(), block.word_terms()
-    empty = F.array().cast("array<int>")
-    job_type = docs.schema["job_id"].dataType.simpleString()
-    query_type = block.id_type.simpleString()
-    fed = docs.filter(F.col("embedding").isNotNull()).select(
-        "job_id", "embedding",
-        (term_hits(places, place_texts) if places else empty).alias("place_hits"),
-        (term_hits(words, [title]) if words and title is not None else empty).alias("word_hits"),
-    )
-    place_at = [[places.index(t) for t in terms] for terms in block.places]
-    word_at = [[words.index(t) for t in terms] for terms in block.words]
-    wanted, ids_of = _unit(block.vectors), block.ids
-    out_schema = pa.schema([
-        ("query_id", to_arrow_type(block.id_type)), ("job_id", pa.int64()), ("scope", pa.string()), ("branch", pa.string()),
-        ("vector_distance", pa.float64()),
-    ])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0 or not ids_of:
-                continue
-            ids = batch.column("job_id").to_numpy(zero_copy_only=False)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.astype(np.float64).reshape(batch.num_rows, -1)
-            # Rounding far below float precision makes equal vectors tie exactly.
-            distances = np.round(1.0 - _unit(vectors) @ wanted.T, 12)
-            place_table = _membership(batch.column("place_hits"), len(places))
-            word_table = _membership(batch.column("word_hits"), len(words))
-            for q in range(len(ids_of)):
-                everywhere = np.ones(len(ids), dtype=bool)
-                near = place_table[:, place_at[q]].any(axis=1) if place_at[q] else everywhere
-                scopes = [("near", near)] + ([("wide", everywhere)] if place_at[q] else [])
-                for scope, mask in scopes:
-                    lane = (q, scope, "vector")
-                    kept[lane] = _keep(kept.get(lane), distances[mask, q], ids[mask], size)
-                    if word_at[q]:
-                        titled = mask & word_table[:, word_at[q]].all(axis=1)
-                        lane = (q, scope, "keyword")
-                        kept[lane] = _keep(
-                            kept.get(lane), np.zeros(titled.sum()), ids[titled], size)
-        for (q, scope, branch), (best, ids) in kept.items():
-            count = len(ids)
-            if count:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids_of[q]] * count, out_schema.field(0).type),
-                     pa.array(ids, pa.int64()), pa.array([scope] * count),
-                     pa.array([branch] * count), pa.array(best, pa.float64())],
-                    schema=out_schema)
-
-    return fed.mapInArrow(
-        scan, f"query_id {query_type}, job_id {job_type}, scope string, branch string, "
-              "vector_distance double")
-
-
-def candidates(docs: DataFrame, block: RequestBlock, size: int = BRANCH_SIZE,
-               place_texts: Sequence[Column] = (), title: Column | None = None) -> DataFrame:
-    """The best ``size`` documents per request, scope and branch over all tasks."""
-    local = local_candidates(docs, block, size, place_texts, title)
-    order = [F.col("vector_distance").asc_nulls_last(), F.col("job_id")]
-    return top_k(local, ["query_id", "scope", "branch"], order, size, "branch_rank")
-
-
-# Documents a task holds at once while it goes through all requests.
-PIECE = 16_384
-
-
-def nearest(docs: DataFrame, requests: DataFrame, k: int = BRANCH_SIZE,
-            limit: int = BLOCK_SIZE) -> DataFrame:
-    """Exact k nearest documents of each request by cosine distance.
+def _against(docs: DataFrame, requests: DataFrame, size: int, chunk: int) -> DataFrame:
+    """The best of each block for each request, scope and branch."""
+    spark = docs.sparkSession
+    stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _pack(docs, BLOCK).withColumn("stripe", F.pmod(F.xxhash64(F.element_at("job_id", 1)), F.lit(stripes)))
+    chunks = _pack(requests.repartition("query_id"), chunk, "q_").withColumn(
+        "stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(stripes - 1).cast("bigint"))))
+    id_types = [requests.schema["query_id"].dataType, docs.schema["job_id"].dataType]
+    schema = pa.schema([
+        ("query_id", to_arrow_type(id_types[0])), ("job_id", to_arrow_type(id_types[1])), ("scope", pa.string()),
+        ("branch", pa.string()), ("vector_distance", pa.float64())])
+    return chunks.join(blocks, "stripe").mapInArrow(
+        _compare(size, schema), f"query_id {id_types[0].simpleString()}, job_id {id_types[1].simpleString()}, "
+                                "scope string, branch string, vector_distance double")
+
+
+_VECTOR = "CAST(embedding AS array<double>) AS embedding"
 
-    The documents are read once, however many requests there are. Requests are written to the
-    shared folder; a task holds a piece of its documents and reads all requests past it, block
-    by block, keeping the best ``k`` of each.
+
+def candidates(docs: DataFrame, requests: DataFrame, size: int = BRANCH_SIZE, chunk: int = CHUNK) -> DataFrame:
+    """Best documents per request, scope and branch.
+
+    ``docs(job_id, embedding, places, words)`` and ``requests(query_id, embedding, places, words)`` list
+    marks of terms: those that a document mentions, in its texts and in its title, and those that a
+    request asks for. Scope ``near`` honours the places, ``wide`` ignores them and exists only for
+    requests that name places. Branch ``vector`` takes the smallest cosine distance, ``keyword`` the
+    smallest ids among titles with all wanted words, at distance 0.
     """
-    id_type = requests.schema["query_id"].dataType
-    path = scratch_path(docs.sparkSession, "requests")
-    requests.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).write.parquet(path)
-    fed = docs.filter(F.col("embedding").isNotNull()).select("job_id", "embedding")
-    schema = pa.schema([
-        ("query_id", to_arrow_type(id_type)), ("job_id", pa.int64()), ("vector_distance", pa.float64())])
-
-    def best(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        system, place = pyarrow.fs.FileSystem.from_uri(path)
-        order = np.argsort(ids)  # so that places among equals follow the ids
-        ids, units = ids[order], _unit(vectors[order])
-        for block in pyarrow.dataset.dataset(place, filesystem=system).to_batches(batch_size=limit):
-            if block.num_rows == 0:
-                continue
-            wanted = np.array(block.column("embedding").to_pylist(), dtype=np.float64)
-            # Rounding far below float precision makes equal vectors tie exactly; no distance is last.
-            distances = np.nan_to_num(np.round(1.0 - _unit(wanted) @ units.T, 12), nan=np.inf)
-            chosen = np.argsort(distances, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(distances, chosen, axis=1).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [block.column("query_id").take(pa.array(np.repeat(np.arange(block.num_rows), chosen.shape[1]))),
-                 pa.array(ids[chosen.ravel()], pa.int64()),
-                 pa.array(found, pa.float64(), mask=np.isinf(found))], schema=schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+    columns = [_VECTOR, "places", "words"]
+    local = _against(docs.filter("embedding IS NOT NULL").selectExpr("job_id", *columns),
+                     requests.selectExpr("query_id", *columns), size, chunk)
+    return top_k(local, ["query_id", "scope", "branch"], [F.col("vector_distance"), F.col("job_id")], size, "branch_rank")
 
-        def piece() -> Iterator[pa.RecordBatch]:
-            if rows:
-                yield from best(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            held.append((batch.column("job_id").to_numpy(zero_copy_only=False),
-                         flat.astype(np.float64).reshape(batch.num_rows, -1)))
-            rows += batch.num_rows
-            if rows >= PIECE:
-                yield from piece()
-                held, rows = [], 0
-        yield from piece()
-
-    local = fed.mapInArrow(scan, f"query_id {id_type.simpleString()}, job_id long, vector_distance double")
-    ranked = top_k(local, ["query_id"], [F.col("vector_distance").asc_nulls_last(), F.col("job_id")], k)
-    return ranked.select("query_id", "job_id", "vector_distance", "rank")
+def nearest(docs: DataFrame, requests: DataFrame, k: int = BRANCH_SIZE, chunk: int = CHUNK) -> DataFrame:
+    """Exact k nearest documents of each request by cosine distance.
+
+    Documents without a vector are left out; one of length 0 has no distance and comes last.
+    """
+    local = _against(docs.filter("embedding IS NOT NULL").selectExpr("job_id", _VECTOR), requests.selectExpr("query_id", _VECTOR), k, chunk)
+    ranked = top_k(local, ["query_id"], [F.col("vector_distance"), F.col("job_id")], k)
+    return ranked.select(
+        "query_id", "job_id", F.nullif("vector_distance", F.lit(float("nan"))).alias("vector_distance"), "rank")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +16,7 @@ from careerlake.functions.text import clip, normalize_query
 from careerlake.functions.vectors import cosine_distance_to
 from careerlake.model import Star
 from careerlake.operators.embed import embed_hashed
-from careerlake.operators.nearest import (
-    BLOCK_SIZE, BRANCH_SIZE, RequestBlock, candidates, request_blocks,
-)
+from careerlake.operators.nearest import BRANCH_SIZE, CHUNK, candidates, mentioned_marks, term_mark
 from careerlake.operators.ranking import average_rank_in_window, fused_score, top_k
 from careerlake.session import checkpointed
 
@@ -141,14 +138,28 @@ def search_forms(docs: DataFrame) -> DataFrame:
         searchable_chunk(F.col("chunk_text")).alias("chunk_form"))
 
 
-def _chosen_candidates(docs: DataFrame, block: RequestBlock, n: int) -> DataFrame:
+def marked_documents(docs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Search forms with the marks of the requests' places and title words that each job mentions.
+
+    All texts are read once, whatever the number of requests.
+    """
+    forms = search_forms(docs)
+    title, everywhere = F.col("title_form"), [F.col("chunk_form"), F.col("company_form"), F.col("title_form")]
+    places = requests.select(F.explode("places").alias("term"))
+    words = requests.select(F.explode("title_words").alias("term"))
+    return forms.withColumns({
+        "places": mentioned_marks(places, everywhere), "words": mentioned_marks(words, [title])})
+
+
+def _chosen_candidates(docs: DataFrame, requests: DataFrame, n: int, chunk: int) -> DataFrame:
     """Candidates of each request, nearby ones if there are any.
 
     A request has at most ``4 n`` candidate rows, so a window per request is bounded.
     """
-    found = candidates(
-        docs, block, n, [F.col("chunk_form"), F.col("company_form"), F.col("title_form")],
-        F.col("title_form"))
+    asked = requests.select("query_id", "embedding", *[
+        F.array_distinct(F.transform(terms, term_mark)).alias(name)
+        for name, terms in (("places", "places"), ("words", "title_words"))])
+    found = candidates(docs, asked, n, chunk)
     merged = found.groupBy("query_id", "scope", "job_id").agg(
         F.min("vector_distance").alias("vector_distance"))
     any_near = F.max((F.col("scope") == "near").cast("int")).over(Window.partitionBy("query_id"))
@@ -159,14 +170,9 @@ def _chosen_candidates(docs: DataFrame, block: RequestBlock, n: int) -> DataFram
 
 
 def candidate_texts(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents among the candidates, without their vectors.
-
-    The candidate ids of one block are bounded by block and branch size, so they are
-    broadcast: documents are filtered where they are read and never shuffled. The kept
-    rows are written down, as scoring and the final rows both need them.
-    """
-    ids = F.broadcast(found.select("job_id").distinct())
-    return checkpointed(docs.drop("embedding", "company_form").join(ids, "job_id", "left_semi"))
+    """Documents among the candidates, without their vectors; scoring and the final rows need them."""
+    return checkpointed(docs.drop("embedding", "company_form", "places", "words").join(
+        found.select("job_id").distinct(), "job_id", "left_semi"))
 
 
 def score_candidates(found: DataFrame, texts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -206,27 +212,24 @@ def rank_candidates(scored: DataFrame, k: int = RESULTS) -> DataFrame:
 
 
 def hybrid_search(requests: DataFrame, docs: DataFrame, k: int = RESULTS,
-                  branch_size: int = BRANCH_SIZE, block_size: int = BLOCK_SIZE) -> SearchResult:
+                  branch_size: int = BRANCH_SIZE, chunk: int = CHUNK) -> SearchResult:
     """Vector and keyword candidates, scored and fused, for every request.
 
-    ``requests`` come from ``prepare_requests``. The documents are joined and brought into their
-    search forms once, and written down. Each block of requests then scans that table once for
-    candidates and once, by candidate id, for their texts.
+    ``requests`` come from ``prepare_requests``. The documents are joined, brought into their search
+    forms and searched for all terms once, and written down with the terms they mention. All requests
+    are then compared with them in one pass, and each candidate's text is read once.
     """
-    rows, scopes = [], []
-    docs = checkpointed(search_forms(docs.select(*DOCUMENT_COLUMNS)))
-    # Requests are read for counting, terms, scores and scopes; embed them once.
-    for part in request_blocks(checkpointed(requests), block_size):
-        found = _chosen_candidates(docs, RequestBlock.collect(part, block_size), branch_size)
-        texts = candidate_texts(found, docs)
-        best = rank_candidates(score_candidates(found, texts, part), k)
-        rows.append(best.join(texts.drop("title_form", "chunk_form"), "job_id").join(
-            part.select("query_id", "requested_location"), "query_id"))
-        near = found.filter(~F.col("is_fallback")).select("query_id").distinct()
-        far = part.filter(F.size("places") > 0).join(near, "query_id", "left_anti").select(
-            "query_id", F.lit(True).alias("is_fallback"))
-        scopes.append(part.select("query_id", "requested_location").join(
-            far, "query_id", "left").withColumn(
-                "is_fallback", F.coalesce("is_fallback", F.lit(False))))
-    return SearchResult(reduce(DataFrame.unionByName, rows),
-                        reduce(DataFrame.unionByName, scopes))
+    # Requests are read for terms, marks, scores and scopes; embed them once.
+    requests = checkpointed(requests)
+    docs = checkpointed(marked_documents(docs.select(*DOCUMENT_COLUMNS), requests))
+    found = _chosen_candidates(docs, requests, branch_size, chunk)
+    texts = candidate_texts(found, docs)
+    best = rank_candidates(score_candidates(found, texts, requests), k)
+    rows = best.join(texts.drop("title_form", "chunk_form"), "job_id").join(
+        requests.select("query_id", "requested_location"), "query_id")
+    near = found.filter(~F.col("is_fallback")).select("query_id").distinct()
+    far = requests.filter(F.size("places") > 0).join(near, "query_id", "left_anti").select(
+        "query_id", F.lit(True).alias("is_fallback"))
+    scopes = requests.select("query_id", "requested_location").join(
+        far, "query_id", "left").withColumn("is_fallback", F.coalesce("is_fallback", F.lit(False)))
+    return SearchResult(rows, scopes)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from careerlake.functions import matching, text
 from careerlake.operators.embed import embed_hashed, embed_with, require_size
+from careerlake.operators import nearest as nearest_module
 from careerlake.operators.nearest import nearest
 from careerlake.plans import search
 
@@ -100,11 +101,27 @@ def test_requests_and_chunks_are_normalized_alike(spark):
     assert search.prepare_requests(df, segment=segment).first().search_text == "java_sql"
 
 
-def test_too_many_requests_are_refused_for_one_block(spark):
-    from careerlake.operators.nearest import RequestBlock
-
-    with pytest.raises(ValueError, match="block by block"):
-        RequestBlock.collect(prepared(spark), 3)
+def test_texts_are_read_once_for_all_requests(spark, tmp_path):
+    spark.createDataFrame(DOCS, DOC_SCHEMA).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    marked = search.marked_documents(docs.select(*search.DOCUMENT_COLUMNS), prepared(spark))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") <= 1
+
+
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_terms_are_found_as_the_single_search_finds_them(spark, monkeypatch, most):
+    monkeypatch.setattr(nearest_module, "TERMS", most)
+    texts = ["c# dev", "a c#b", "hanoi", "Hà Nội", "x-ray q.1", "q.10", "it", "item", "", None, "c++", "dataset"]
+    terms = ["c#", "hà nội", "it", "q.1", "data", "c", "zz", "\U0001f600", "x-r"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    asked = spark.createDataFrame([(t,) for t in terms + terms], "term string")
+    form = docs.select("id", "t", matching.searchable(F.col("t")).alias("f"))
+    marks = {r.term: r.m for r in asked.distinct().select("term", nearest_module.term_mark(F.col("term")).alias("m")).collect()}
+    for row in form.select("id", "t", nearest_module.mentioned_marks(asked, [F.col("f")]).alias("found")).collect():
+        for term in terms:
+            single = docs.filter(f"id = {row.id}").filter(matching.mentions_all([term], F.col("t"))).count()
+            assert (marks[term] in row.found) == bool(single), (row.t, term)
 
 
 def test_no_requests_and_no_documents(spark):
