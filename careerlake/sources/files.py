@@ -26,29 +26,3 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not system.exists(target):
         return []
     return [status.getPath().getName() for status in system.listStatus(target)]
-
-
-def size(spark: SparkSession, path: str) -> int:
-    """Bytes below a path."""
-    system, target = _open(spark, path)
-    return system.getContentSummary(target).getLength()
-
-
-def rename_new(spark: SparkSession, source: str, target: str) -> bool:
-    """Rename a folder; false if the target is there already, which is then left as it is.
-
-    The file system decides, so of two callers only one succeeds where its rename is atomic
-    (HDFS and local disks).
-    """
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    system, start = _open(spark, source)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        start.toUri() if start.toUri().getScheme() else system.getUri(), spark._jsc.hadoopConfiguration())
-    no_options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        context.rename(start, jvm.org.apache.hadoop.fs.Path(target), no_options)
-    except Py4JJavaError as error:
-        if "FileAlreadyExists" in error.java_exception.getClass().getName():
-            return False
-        raise
-    return True
