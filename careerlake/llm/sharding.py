@@ -29,18 +29,28 @@ from careerlake.llm.common import fresh, keep_until_exit, written
 BLOCK_ROWS = 100_000
 CELL_ROWS = 50_000
 SEED = 20
-_EXACT = 1_000_000_000  # numpy draws exactly below this population
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """How many of ``drawn`` rows are good. For populations that numpy refuses, the normal limit
-    stands in: its error is far below one part in a million there, and sums stay exact."""
-    if good + bad < _EXACT:
-        return int(rng.hypergeometric(good, bad, drawn)) if drawn else 0
+    """How many of ``drawn`` rows are good, for populations of any size.
+
+    Inverts the distribution: chances next to each other have a simple ratio, so they follow from the
+    likeliest number outwards, over twelve standard deviations and more; what lies beyond weighs less
+    than the rounding of a double.
+    """
     total = good + bad
-    mean = drawn * (good / total)
-    spread = math.sqrt(mean * (bad / total) * ((total - drawn) / max(total - 1, 1)))
-    return int(min(max(round(rng.normal(mean, spread)), drawn - bad, 0), good, drawn))
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    mode = (drawn + 1) * (good + 1) // (total + 2)
+    spread = math.sqrt(drawn * (good / total) * (bad / total) * ((total - drawn) / max(total - 1, 1)))
+    reach = math.ceil(12 * spread) + 30
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    ratios = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    logs = np.concatenate(([0.0], np.cumsum(ratios)))
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def matrix(block_rows: list[int], shards: int, seed: int = SEED) -> np.ndarray:

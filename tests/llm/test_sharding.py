@@ -1,5 +1,6 @@
 """Shards: exact sizes, whole contents, and uniformity."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,26 @@ def test_large_populations_keep_exact_sums():
     assert abs(sent[0, 0] - 1e9) < 1e6
 
 
+def test_draws_follow_the_exact_chances():
+    rng = np.random.default_rng(4)
+    for good, bad, drawn in ((5, 7, 6), (30, 2, 20), (1, 9, 9), (12, 12, 1)):
+        want = np.array([math.comb(good, k) * math.comb(bad, drawn - k) for k in range(drawn + 1)], float)
+        want /= want.sum()
+        got = np.bincount([sharding._hypergeometric(rng, good, bad, drawn) for _ in range(6000)], minlength=drawn + 1) / 6000
+        assert np.abs(got - want).max() < 0.03
+    assert sharding._hypergeometric(rng, 0, 5, 3) == 0 and sharding._hypergeometric(rng, 4, 0, 3) == 3
+    assert sharding._hypergeometric(rng, 9, 9, 0) == 0
+
+
+def test_a_trillion_rows():
+    rows = [100_000] * 40 + [10**12 - 4_000_000]
+    draws = np.array([sharding.matrix(rows[:1] + [10**12 - 100_000], 16, seed)[0] for seed in range(400)])
+    assert (draws.sum(axis=1) == 100_000).all()
+    assert abs(draws[:, 0].mean() - 6250) < 16 and abs(draws[:, 0].var() - 5859) < 1500
+    sent = sharding.matrix(rows, 16)
+    assert sent.sum(axis=1).tolist() == rows and sent.sum(axis=0).max() - sent.sum(axis=0).min() <= 1
+
+
 @pytest.mark.parametrize("cell", [50_000, 7])
 def test_shuffle(spark, monkeypatch, cell):
     monkeypatch.setattr(sharding, "CELL_ROWS", cell)
