@@ -1,8 +1,8 @@
 """Secrets in texts and in whatever their texts encode.
 
 Every text is scanned as it stands. Then a worklist takes it apart: runs with percent escapes,
-runs with Unicode escapes, and base64 tokens are decoded, and decoded bytes that are a gzip, zlib
-or bzip2 stream are decompressed; each new layer is scanned and goes on the worklist itself, until
+runs with Unicode escapes, and base64 tokens are decoded, and decoded bytes that are gzip, zlib,
+bzip2, xz or Zstandard streams are decompressed; each new layer is scanned and goes on the worklist itself, until
 nothing new comes out. A layer seen before under the same place is not taken up again, so cycles
 end. Each character of a layer knows the span of the text it came from: one escape for escapes,
 the whole token for base64 and compressed bytes. So every finding is given as a span of the text.
@@ -13,7 +13,8 @@ same kind and span is left out.
 
 Null and empty texts have no secrets. Repeated rows have the same findings each. Texts are never
 shuffled. A layer may grow to ``LAYER_BYTES``; a stream that unpacks to more is itself reported, as
-kind ``oversize``, and not scanned further.
+kind ``oversize``, and scanned up to there. Very long texts take time in proportion to their length
+and to what their layers unpack to.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ import base64
 import binascii
 import bz2
 import hashlib
+import lzma
 import re
+import urllib.parse
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +54,9 @@ _UNICODE = re.compile(r"(?<![!-~])[!-~]*\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0
 _CODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+_MARKS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_SIZED = (type(zlib.decompressobj()), bz2.BZ2Decompressor, lzma.LZMADecompressor)
+_DAMAGE = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\x80-\U0010ffff]*")
 
 
@@ -82,7 +89,17 @@ class Layer:
 
 
 def _readable(data: bytes) -> str:
-    """Bytes as text; what is no UTF-8 becomes replacement characters, so that the rest is scanned."""
+    """Bytes as text: UTF-16 if they begin with its mark or every other one of the first is zero, else
+    UTF-8; what is neither becomes replacement characters, so that the rest is scanned."""
+    head = data[:64]
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        wide = data.decode("utf-16", "replace")
+        if len(head) > 3 and (not any(head[3::2]) or not any(head[2::2])):
+            return wide
+    elif len(head) >= 8 and not any(head[1::2]) and all(head[::2][: len(head) // 2]):
+        return data.decode("utf-16-le", "replace")
+    elif len(head) >= 8 and not any(head[::2]) and all(head[1::2]):
+        return data.decode("utf-16-be", "replace")
     return data.decode("utf-8", "replace")
 
 
@@ -132,33 +149,74 @@ def _escaped(m: re.Match, layer: Layer | None, how: str) -> Layer | None:
     return Layer(text, name, tuple(layer.span(at + a, at + b) for _, a, b in pieces), False)
 
 
+def _opener(data: bytes):
+    """A decompressor for data that begins with the mark of a stream, or none."""
+    if data[:3] == b"\x1f\x8b\x08" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
+        return zlib.decompressobj(wbits=47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=LAYER_BYTES)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
 def _unpack(data: bytes) -> tuple[bytes | None, bool]:
-    """Decompressed bytes, or none; and whether they exceed the limit."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-        opener = zlib.decompressobj(wbits=47)
-    elif data[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    else:
+    """Decompressed bytes of a stream and of those that follow it at once, or none; and whether there
+    were more than the limit, which are left out."""
+    out, opener = b"", _opener(data)
+    if opener is None:
         return None, False
-    try:
-        out = opener.decompress(data, LAYER_BYTES + 1)
-    except (zlib.error, OSError, EOFError, ValueError):
-        out = _until_damage(data)
-    return (None, True) if len(out) > LAYER_BYTES else (out or None, False)
+    while opener is not None and len(out) <= LAYER_BYTES:
+        try:
+            if isinstance(opener, _SIZED):
+                out += opener.decompress(data, LAYER_BYTES + 1 - len(out))
+            else:
+                out += opener.decompress(data)
+        except _DAMAGE:
+            out += _until_damage(data, LAYER_BYTES + 1 - len(out))
+            break
+        data = opener.unused_data if opener.eof else b""
+        opener = _opener(data)
+    return out[:LAYER_BYTES] or None, len(out) > LAYER_BYTES
 
 
-def _until_damage(data: bytes) -> bytes:
+def _until_damage(data: bytes, most: int) -> bytes:
     """What a damaged stream unpacks to before its damage."""
-    opener = bz2.BZ2Decompressor() if data[:3] == b"BZh" else zlib.decompressobj(wbits=47)
-    out = bytearray()
+    opener, out = _opener(data), bytearray()
     try:
         for at in range(len(data)):
-            out += opener.decompress(data[at : at + 1], LAYER_BYTES + 1 - len(out))
-            if len(out) > LAYER_BYTES:
+            out += opener.decompress(data[at : at + 1])
+            if len(out) > most:
                 break
-    except (zlib.error, OSError, EOFError, ValueError):
+    except _DAMAGE:
         pass
-    return bytes(out)
+    return bytes(out[:most])
+
+
+def _unpacked(data: bytes, how: str, span: tuple[int, int]) -> tuple[Layer | None, bool]:
+    """The text of bytes, through any number of compressions; and whether one was oversize."""
+    seen, over = set(), False
+    while True:
+        seen.add(hashlib.sha256(data).digest())
+        out, oversize = _unpack(data)
+        over |= oversize
+        if out is None or hashlib.sha256(out).digest() in seen:
+            break
+        data, how = out, how + "+zip"
+    text = _readable(data)
+    return (Layer(text, how, span, True) if text else None), over
+
+
+def _packed_escapes(m: re.Match, layer: Layer | None) -> Iterator[tuple[Layer | None, bool]]:
+    """Streams whose bytes are written as percent escapes."""
+    data = urllib.parse.unquote_to_bytes(m[0])
+    span = layer.span(m.start(), m.end()) if layer else (m.start(), m.end())
+    for mark in _MARKS.finditer(data):
+        if _opener(data[mark.start() : mark.start() + 8]) is not None:
+            yield _unpacked(data[mark.start() :], (f"{layer.how}+" if layer else "") + "url", span)
+            break
 
 
 def _decoded(start: int, end: int, token: str, layer: Layer | None) -> tuple[Layer | None, tuple[int, int] | None]:
@@ -171,33 +229,25 @@ def _decoded(start: int, end: int, token: str, layer: Layer | None) -> tuple[Lay
     except binascii.Error:
         return None, None
     span = layer.span(start, end) if layer else (start, end)
-    how, seen = (f"{layer.how}+" if layer else "") + "base64", set()
-    while True:
-        seen.add(hashlib.sha256(data).digest())
-        out, oversize = _unpack(data)
-        if oversize:
-            return None, span
-        if out is None or hashlib.sha256(out).digest() in seen:
-            break
-        data, how = out, how + "+zip"
-    text = _readable(data)
-    return (Layer(text, how, span, True) if text else None), None
+    new, over = _unpacked(data, (f"{layer.how}+" if layer else "") + "base64", span)
+    return new, (span if over else None)
 
 
-def _promising(head: str) -> bool:
-    """Whether a token's first characters decode to plain text or to the mark of a stream."""
+def _promise(head: str) -> str:
+    """Whether a token's first characters decode to the mark of a stream, to plain text, or to neither."""
     data = base64.b64decode(head[:12].replace("-", "+").replace("_", "/"))
-    if data.startswith((b"\x1f\x8b", b"\x78", b"BZh")):
-        return True
+    if _opener(data) is not None:
+        return "stream"
     text = data.decode("utf-8", "ignore")
-    return len(text.encode()) > 6 and _PLAIN.fullmatch(text) is not None
+    return "plain" if len(text.encode()) > 6 and _PLAIN.fullmatch(text) is not None else ""
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
     """Base64 tokens of a text: start, end and characters.
 
     A run with slashes may be a path: its parts between slashes are tokens too, and so is all that
-    follows a slash if it begins like one. Lines with single breaks between them are joined: all,
+    follows a slash if it begins like a stream, or like plain text at an alignment of four characters
+    for the first time: later ones of that alignment decode to ends of the same text. Lines with single breaks between them are joined: all,
     and each block of lines of one length with the line that ends it.
     """
     for m in _BASE64.finditer(text):
@@ -206,9 +256,16 @@ def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
             continue
         for part in re.finditer(r"[^/]{16,}", m[0]):
             yield m.start() + part.start(), m.start() + part.end(), part[0]
-        for slash in re.finditer(r"/(?=[^=]{16})", m[0]):
-            if "/" in m[0][slash.end() :] and _promising(m[0][slash.end() : slash.end() + 12]):
-                yield m.start() + slash.end(), m.end(), m[0][slash.end() :]
+        last, met = m[0].rindex("/"), set()
+        for slash in re.finditer(r"/(?=[^=]{16})", m[0][: last + 17]):
+            at = slash.end()
+            if at > last:
+                continue
+            promise = _promise(m[0][at : at + 12])
+            if promise == "stream" or (promise and at % 4 not in met):
+                yield m.start() + at, m.end(), m[0][at:]
+                if promise == "plain":
+                    met.add(at % 4)
     for m in _WRAPPED.finditer(text):
         lines = [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in re.finditer(r"[^\r\n]+", m[0])]
         blocks, first = {(0, len(lines))}, 0
@@ -236,7 +293,12 @@ def findings(text: str) -> list[tuple[int, int, str]]:
         here = layer.text if layer else text
         below: list[Layer] = []
         if "%" in here:
-            below += [x for m in _URL.finditer(here) if (x := _escaped(m, layer, "url"))]
+            for m in _URL.finditer(here):
+                below += [x] if (x := _escaped(m, layer, "url")) else []
+                for new, over in _packed_escapes(m, layer):
+                    below += [new] if new else []
+                    if over:
+                        found.add((*(layer.span(m.start(), m.end()) if layer else m.span()), "oversize"))
         if "\\" in here:
             below += [x for m in _UNICODE.finditer(here) if (x := _escaped(m, layer, "unicode"))]
         for start, end, token in _tokens(here):

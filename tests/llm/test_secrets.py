@@ -3,12 +3,15 @@
 import base64
 import bz2
 import gzip
+import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from careerlake.llm import secrets
 
@@ -101,12 +104,48 @@ def test_cycles_bombs_and_damage_end(monkeypatch):
     assert secrets.findings("\\u005cu005c" * 500) == []
     assert secrets.findings(packed(b"\x1f\x8b" + bytes(40)) + " " + packed(b"\xff" * 40)) == []
     monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
-    text = "x " + packed(gzip.compress(b"a" * 5000))
+    text = "x " + packed(gzip.compress(b"q" * 5000))
     assert secrets.findings(text) == [(2, len(text), "oversize")]
     long = "A" * 300_001 + " " + "%zz" * 100_000 + " " + "b%41" * 50_000
     assert all(kind != "assign" for *_, kind in secrets.findings(long))
 
 
+@pytest.mark.parametrize("pack", [lzma.compress, zstandard.compress, lambda d: gzip.compress(b"first ") + gzip.compress(d)])
+def test_other_streams_and_several_members(pack):
+    token = packed(pack(SECRET.encode()))
+    assert (2, 2 + len(token), "assign@base64+zip") in secrets.findings(f"x {token} y")
+
+
+def test_streams_under_percent_escapes():
+    for data in (gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode()), b"a=1&z=" + bz2.compress(SECRET.encode())):
+        run = "".join(f"%{b:02X}" for b in data)
+        assert (4, 4 + len(run), "assign@url+zip") in secrets.findings(f"see {run} end")
+
+
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be"])
+def test_wide_characters(code):
+    token = packed(SECRET.encode(code))
+    assert (0, len(token), "assign@base64") in secrets.findings(token)
+
+
+def test_what_an_oversize_stream_begins_with_is_scanned(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    token = packed(gzip.compress(SECRET.encode() + b" a" * 5000))
+    assert {(0, len(token), "oversize"), (0, len(token), "assign@base64+zip")} <= set(secrets.findings(token))
+
+
+def test_paths_of_many_tokens_take_time_in_proportion():
+    rng = random.Random(2)
+    parts = [packed(bytes(rng.choice(b"abcdefgh ijklmnop") for _ in range(24))) for _ in range(1500)]
+    parts[700] = packed(SECRET.encode() + b"....")
+    text = "/".join(parts)
+    start = time.perf_counter()
+    found = secrets.findings(text)
+    assert time.perf_counter() - start < 1.5
+    at = text.index(parts[700])
+    assert (at, at + len(parts[700]), "assign@base64") in found
+
+
 def test_rows(spark):
     rows = [(1, SECRET), (1, SECRET), (None, None), (3, ""), (4, packed(SECRET.encode()))]
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")
