@@ -79,7 +79,10 @@ def dq_orphans(spark, sf):
 
 
 def dq_constraints(spark, sf):
-    return quality.constraint_report(roles.star(spark, sf).tables())
+    """All keys of the schema; of the stored vectors some have no job, and some repeat an id."""
+    stored = table(spark, sf, "embeddings").select(
+        (F.col("vec_id") - F.col("vec_id") % 5).alias("job_id"), F.lit("").alias("chunk_text"), "embedding")
+    return quality.constraint_report(roles.star(spark, sf).tables() | {"dim_job_vectors": stored})
 
 
 QUERIES = {
@@ -125,6 +128,8 @@ _CONSTRAINTS = "\nUNION ALL\n".join([
     _no_parent("dim_locations", "job_id", "loc", "jd"),
     _no_parent("dim_skills", "job_id", "sk", "jd"),
     _no_parent("dim_categories", "job_id", "cat", "jd"),
+    _no_key("dim_job_vectors", ["job_id"], "vec"),
+    _no_parent("dim_job_vectors", "job_id", "vec", "jd"),
 ])
 
 ORACLE = {
@@ -162,5 +167,6 @@ ORACLE = {
         AS fail_count FROM lineitem""",
     "dq_orphans": """SELECT count(*) AS fail_count FROM orders
         WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
-    "dq_constraints": with_star(_CONSTRAINTS),
+    "dq_constraints": with_star(_CONSTRAINTS.replace(
+        "FROM vec", "FROM (SELECT vec_id - vec_id % 5 AS job_id FROM embeddings)")),
 }

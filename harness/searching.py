@@ -180,19 +180,11 @@ def prompt_table(spark, sf):
 
 
 def embed_text(spark, sf):
-    """What SQL can tell of the hashed vectors: size, length, no regard to the order of words,
-    and at most as many places in use as there are different words."""
-    words = matching.split_words(F.col("text"))
-    docs = table(spark, sf, "documents").select(
-        "doc_id", "text", F.array_join(F.sort_array(words, asc=False), " ").alias("turned"),
-        F.size(F.array_distinct(words)).alias("different"))
-    both = embed_hashed(embed_hashed(docs, "text"), "turned", "again")
-    used = F.size(F.filter("embedding", lambda x: x != 0))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return both.select(
-        "doc_id", F.size("embedding").cast("bigint").alias("size"),
-        F.round(F.sqrt(squares), 4).alias("length"), (F.col("embedding") == F.col("again")).alias("orderless"),
-        used.between(F.least("different", F.lit(1)), F.col("different")).alias("bounded"))
+    """The hashed vector of every document: places in use with their values, in ten-thousandths."""
+    docs = embed_hashed(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    used = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e.x != 0)
+    listed = F.transform(used, lambda e: F.concat_ws(":", e.i, F.round(e.x.cast("double") * 10000).cast("bigint")))
+    return docs.select("doc_id", F.size("embedding").cast("bigint").alias("size"), F.array_join(listed, ",").alias("embedding"))
 
 
 def letter_counts():
@@ -331,6 +323,33 @@ _SEARCH = {
           || chr(10) || chr(10), '' ORDER BY rn) AS context FROM best GROUP BY query_id""",
 }
 
+# The public 32-bit hash of words, seed 42, in integer arithmetic (fixed values: its constants).
+_M = "4294967296"
+
+
+def _turned(x: str, by: int) -> str:
+    return f"(({x}) * {1 << by} % {_M} + ({x}) // {1 << (32 - by)})"
+
+
+def _mixed(k: str) -> str:
+    return f"({_turned(f'(({k}) * 3432918353 % {_M})', 15)} * 461845907 % {_M})"
+
+
+def _word_of(b: str, at: str, size: int) -> str:
+    return "(" + " + ".join(f"{b}[{at} + {j + 1}] * {256 ** j}" for j in range(size)) + ")"
+
+
+def _reduced(fours: str) -> str:
+    step = f"({_turned('xor(h, k)', 13)} * 5 + 3864292196) % {_M}"
+    return f"list_reduce(list_prepend(42::HUGEINT, list_transform({fours}, lambda k: {_mixed('k')})), lambda h, k: {step})"
+
+
+def _closed(h: str) -> str:
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        h = f"(xor({h}, ({h}) // {1 << shift}) * {factor} % {_M})"
+    return f"xor({h}, ({h}) // 65536)"
+
+
 _KW_LITERAL = "[" + ", ".join(f"'{w}'" for w in _KEYWORDS) + "]"
 _PLACE_FILTER = " OR ".join(f"({_near(chr(39) + p + chr(39))})" for p in _PLACES)
 _TITLE_FILTER = " AND ".join(f"({_mentions('tl', 'tp', chr(39) + w + chr(39))})" for w in _TITLE.split())
@@ -338,10 +357,21 @@ _TITLE_FILTER = " AND ".join(f"({_mentions('tl', 'tp', chr(39) + w + chr(39))})"
 ORACLE = {
     "vector_codec": """SELECT vec_id, len(embedding) AS dimension,
         round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings""",
-    "embed_text": """SELECT doc_id, CAST(384 AS BIGINT) AS size,
-          CAST(CASE WHEN words = 0 THEN 0 ELSE 1 END AS DOUBLE) AS length, true AS orderless, true AS bounded
-        FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words
-              FROM documents)""",
+    "embed_text": f"""WITH said AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w
+          FROM documents),
+        bytes AS (SELECT w, list_transform(range(strlen(w)),
+            lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS INT), 2) AS HUGEINT)) AS b FROM (SELECT DISTINCT w FROM said)),
+        cut AS (SELECT w, len(b) AS n, list_transform(range(len(b) // 4), lambda i: {_word_of('b', '4 * i', 4)}) AS fours,
+            coalesce(list_sum(list_transform(range(len(b) % 4), lambda j: b[len(b) // 4 * 4 + j + 1] * (1 << (8 * j)))), 0)::HUGEINT AS rest
+          FROM bytes),
+        mixed AS (SELECT w, n, xor({_reduced('fours')}, CASE WHEN n % 4 > 0 THEN {_mixed('rest')} ELSE 0 END) AS h FROM cut),
+        closed AS (SELECT w, {_closed('xor(h, n::HUGEINT)')} AS h FROM mixed),
+        places AS (SELECT w, ((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 384 + 384) % 384 AS i FROM closed),
+        counted AS (SELECT doc_id, CAST(i AS INT) AS i, count(*) AS n FROM said JOIN places USING (w) GROUP BY 1, 2),
+        scaled AS (SELECT doc_id, i, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS x FROM counted),
+        lists AS (SELECT doc_id, string_agg(i || ':' || CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT), ',' ORDER BY i) AS e
+          FROM scaled GROUP BY 1)
+        SELECT doc_id, CAST(384 AS BIGINT) AS size, coalesce(e, '') AS embedding FROM documents LEFT JOIN lists USING (doc_id)""",
     "embedded_requests": f"""WITH counted AS (
           SELECT doc_id AS id, 'd' AS kind, {sql_normalize('text')} AS t FROM documents
           UNION ALL SELECT item_id, 'q', {sql_normalize("' ' || text")} FROM benchmark),
