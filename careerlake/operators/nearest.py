@@ -89,8 +89,20 @@ def mentioned_marks(terms: DataFrame, texts: Sequence[Column]) -> Column:
     return F.array_distinct(F.concat(*[_looked_up(p, low, padded) for p in parts if p] or [F.array().cast("array<bigint>")]))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.RecordBatch]]:
+    """Batches cut where column ``stripe`` changes, with its value; whole ones without that column."""
+    for batch in batches:
+        if "stripe" not in batch.schema.names:
+            yield None, batch
+        elif batch.num_rows:
+            stripes = batch.column("stripe").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(stripes[1:] != stripes[:-1]) + 1).tolist(), len(stripes)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                yield int(stripes[begin]), batch.slice(begin, end - begin)
+
+
 def _packer(size: int, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Turns up to ``size`` rows into one; vectors are laid end to end."""
+    """Turns up to ``size`` rows, of one stripe if they have any, into one; vectors are laid end to end."""
     def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         columns = {}
         for name in names:
@@ -101,8 +113,12 @@ def _packer(size: int, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatc
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
+        rows, last = 0, None
+        for stripe, batch in _runs(batches):
+            if rows and stripe != last:
+                yield pack(held)
+                held, rows = [], 0
+            last = stripe
             while batch.num_rows:
                 held.append(batch.slice(0, size - rows))
                 batch = batch.slice(size - rows)
@@ -202,12 +218,16 @@ def _against(docs: DataFrame, requests: DataFrame, size: int, chunk: int) -> Dat
     blocks = _pack(docs, BLOCK).withColumn("stripe", F.pmod(F.xxhash64(F.element_at("job_id", 1)), F.lit(stripes)))
     chunks = _pack(requests.repartition("query_id"), chunk, "q_").withColumn(
         "stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(stripes - 1).cast("bigint"))))
-    id_types = [requests.schema["query_id"].dataType, docs.schema["job_id"].dataType]
+    return _compare_blocks(chunks.join(blocks, "stripe"), size, requests.schema["query_id"].dataType, docs.schema["job_id"].dataType)
+
+
+def _compare_blocks(pairs: DataFrame, size: int, query_id: T.DataType, job_id: T.DataType) -> DataFrame:
+    """The best of each pair of a chunk and a block."""
     schema = pa.schema([
-        ("query_id", to_arrow_type(id_types[0])), ("job_id", to_arrow_type(id_types[1])), ("scope", pa.string()),
+        ("query_id", to_arrow_type(query_id)), ("job_id", to_arrow_type(job_id)), ("scope", pa.string()),
         ("branch", pa.string()), ("vector_distance", pa.float64())])
-    return chunks.join(blocks, "stripe").mapInArrow(
-        _compare(size, schema), f"query_id {id_types[0].simpleString()}, job_id {id_types[1].simpleString()}, "
+    return pairs.mapInArrow(
+        _compare(size, schema), f"query_id {query_id.simpleString()}, job_id {job_id.simpleString()}, "
                                 "scope string, branch string, vector_distance double")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from careerlake.functions import matching, text, vectors
 from careerlake.functions.wordlists import QUERY_STOP_WORDS
-from careerlake.operators import postings
+from careerlake.operators import cells, postings
 from careerlake.operators.embed import embed_hashed, embed_with
 from careerlake.operators.nearest import BRANCH_SIZE, nearest
 from careerlake.operators.ranking import average_rank, fused_score
@@ -42,6 +42,17 @@ def cosine_topk(spark, sf):
                         F.round("vector_distance", 6).alias("vector_distance"))
 
 
+def cosine_topk_cells(spark, sf):
+    """The same through cells of documents, exactly."""
+    docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
+    wanted = roles.centroids(spark, sf).select(
+        F.col("label").cast("bigint").alias("query_id"), "embedding")
+    index = cells.CellIndex.build(docs, scratch_path(spark, "cells"), cells=16)
+    found = cells.nearest_by_cells(index, wanted, BRANCH_SIZE, probes=4, exact=True)
+    return found.select("query_id", "job_id", F.col("rank").cast("bigint").alias("rank"),
+                        F.round("vector_distance", 6).alias("vector_distance"))
+
+
 def cosine_pairs(spark, sf):
     """Distance of each vector to the mean of its own label, in the JVM."""
     means = roles.centroids(spark, sf).withColumnRenamed("embedding", "mean")
@@ -223,6 +234,7 @@ QUERIES = {
     "embedded_requests": embedded_requests,
     "vector_codec": vector_codec,
     "cosine_topk": cosine_topk,
+    "cosine_topk_cells": cosine_topk_cells,
     "cosine_pairs": cosine_pairs,
     "vector_search": vector_search,
     "keyword_search": keyword_search,
@@ -456,3 +468,5 @@ ORACLE = {
         f"CAST(length(text) - length(replace(text, '{c}', '')) AS BIGINT) AS n{i}"
         for i, c in enumerate("aeiou")) + " FROM documents",
 }
+
+ORACLE["cosine_topk_cells"] = ORACLE["cosine_topk"]

@@ -8,7 +8,7 @@ from harness.dashboard import STOP_WORDS
 from tests.conftest import SMALL
 
 NATIVE = [name for name in catalog.queries() if name not in {
-    "hybrid_search", "search_scopes", "rag_context", "prompt_table", "cosine_topk", "embed_encoder",
+    "hybrid_search", "search_scopes", "rag_context", "prompt_table", "cosine_topk", "cosine_topk_cells", "embed_encoder",
     "embedded_requests",
     "incremental_load", "extract_load", "session_activity"}]
 
