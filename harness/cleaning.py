@@ -12,7 +12,9 @@ from careerlake.plans.transform import rejected_keys
 from careerlake.plans.vectorize import chunk_text, wide_rows
 from careerlake.functions.wordlists import CHUNK_STOP_WORDS
 from harness import roles
-from harness.roles import SALARY_TEXTS, YEARS_TEXTS, pick, sql_pick, table, with_star
+from harness.roles import (
+    SALARIES_KEPT, SALARY_AMOUNTS, SALARY_TEXTS, YEARS, YEARS_TEXTS, pick, sql_number, sql_pick, table, with_star,
+)
 
 # --- staging parsers --------------------------------------------------------------
 
@@ -166,19 +168,6 @@ QUERIES = {
 
 # --- SQL --------------------------------------------------------------------------
 
-_SALARY = f"""SELECT job_id, t AS salary_text, CASE
-      WHEN contains(lower(t), 'thương lượng') THEN 0
-      ELSE coalesce(CAST(round((a + coalesce(b, a)) / 2
-        * CASE WHEN contains(lower(t), 'usd') OR contains(t, '$') THEN 25000
-               WHEN contains(lower(t), 'tr') THEN 1000000 ELSE 1 END
-        / CASE WHEN contains(lower(t), 'năm') OR contains(lower(t), 'year') THEN 12 ELSE 1 END)
-        AS BIGINT), 0) END AS amount
-    FROM (SELECT job_id, t,
-        TRY_CAST(nullif(regexp_extract(replace(t, ',', ''), '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS a,
-        TRY_CAST(nullif(regexp_extract(replace(t, ',', ''),
-          '[0-9]+\\.?[0-9]*[^0-9]+([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS b
-      FROM (SELECT o_orderkey AS job_id, {sql_pick(SALARY_TEXTS, 'o_orderkey')} AS t FROM orders))"""
-
 _KEYS = """SELECT CASE WHEN raw IN ('nan', 'None', 'null') THEN '' ELSE raw END AS raw FROM (
     SELECT CASE o_orderkey % 6 WHEN 0 THEN o_orderkey || '' WHEN 1 THEN o_orderkey || '.0'
       WHEN 2 THEN '' WHEN 3 THEN 'x' || o_orderkey WHEN 4 THEN 'nan' ELSE 'null' END AS raw
@@ -215,15 +204,12 @@ _CHUNK = """'vị trí ' || coalesce(job_title, 'None') || ' cấp bậc ' || co
     || ' mô tả None yêu cầu ' || coalesce(job_requirements, 'None')"""
 
 ORACLE = {
-    "salary_parse": _SALARY,
-    "salary_normalize": f"""SELECT job_id, CASE WHEN amount > 500000000 THEN 0
-          WHEN amount > 0 AND amount < 1000 THEN amount * 1000000
-          WHEN amount >= 1000 AND amount < 500000 THEN 0 ELSE amount END AS salary_numeric
-        FROM ({_SALARY})""",
-    "experience_parse": f"""SELECT job_id, CASE WHEN contains(lower(t), 'không') THEN 0
-          ELSE coalesce(TRY_CAST(nullif(regexp_replace(t, '[^0-9]', '', 'g'), '') AS INT), 0)
-          END AS years_of_experience
-        FROM (SELECT o_orderkey AS job_id, {sql_pick(YEARS_TEXTS, 'o_orderkey')} AS t FROM orders)""",
+    "salary_parse": f"""SELECT o_orderkey AS job_id, {sql_pick(SALARY_TEXTS, 'o_orderkey')} AS salary_text,
+        {sql_number(SALARY_AMOUNTS, 'o_orderkey', 'BIGINT')} AS amount FROM orders""",
+    "salary_normalize": f"""SELECT o_orderkey AS job_id,
+        {sql_number(SALARIES_KEPT, 'o_orderkey', 'BIGINT')} AS salary_numeric FROM orders""",
+    "experience_parse": f"""SELECT o_orderkey AS job_id,
+        {sql_number(YEARS, 'o_orderkey', 'INT')} AS years_of_experience FROM orders""",
     "date_parse": """SELECT o_orderkey AS job_id,
         CASE WHEN o_orderkey % 5 < 3 THEN CAST(o_orderdate AS DATE) END AS posted_date,
         CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) END

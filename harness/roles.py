@@ -24,6 +24,21 @@ SALARY_TEXTS = [
 ]
 YEARS_TEXTS = ["Không yêu cầu", "3 năm", "1 - 3 năm", "abc", None, "", "12 years"]
 
+# What these texts mean, worked by hand in the same order (fixed values): the amount read, the amount
+# kept, and the years. Of the oddities, 12.5 has 5 as its second number, dots part 15.000.000 into 15.000
+# and 000, "Trên" holds the sign of millions, and all digits of a text make its years.
+SALARY_AMOUNTS = [
+    0, 0, 15_000_000, 10_000_000, 8_750_000, 17_500_000, 37_500_000, 12_500_000, 50_000_000,
+    17_500_000, 8, 15_000_000_000_000, 20_000_000, 1_500, 15, 8, 600_000_000, 500_000_000,
+    500_000, 499_999, 0, 0, 0,
+]
+SALARIES_KEPT = [
+    0, 0, 15_000_000, 10_000_000, 8_750_000, 17_500_000, 37_500_000, 12_500_000, 50_000_000,
+    17_500_000, 8_000_000, 0, 20_000_000, 0, 15_000_000, 8_000_000, 0, 500_000_000,
+    500_000, 0, 0, 0, 0,
+]
+YEARS = [0, 3, 13, 0, 0, 0, 12]
+
 
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -47,6 +62,10 @@ def sql_pick(texts: list, key: str) -> str:
     return f"([{listed}])[CAST({key} % {len(texts)} + 1 AS INT)]"
 
 
+def sql_number(values: list[int], key: str, kind: str) -> str:
+    return f"CAST({values}[CAST({key} % {len(values)} + 1 AS INT)] AS {kind})"
+
+
 # --- star -------------------------------------------------------------------------
 
 
