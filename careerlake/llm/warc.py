@@ -38,7 +38,7 @@ from careerlake.sources import files
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 SAMPLES = 1000  # records the dictionary is built from
-SAMPLE_BYTES = 8 << 10  # of each of them
+SAMPLE_BYTES = 8 << 10  # of each of them, from a random place of the payload
 LEVEL = 6
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")  # would end a header field or its value
 DATE = "2026-01-01T00:00:00Z"  # of records, unless the caller knows better
@@ -105,13 +105,15 @@ def _record(row: dict) -> bytes:
 
 
 def dictionary(pages: DataFrame, payload: str = "html", samples: int = SAMPLES) -> bytes:
-    """A dictionary from a random sample of about ``samples`` records: their heads, the beginnings
-    of their payloads, and for some the head of a revisit."""
+    """A dictionary from a random sample of about ``samples`` records: their heads, a piece from
+    any place of their payloads, and for some the head of a revisit."""
     body = _payload(F.col(payload))
+    places = F.greatest(F.length(body) - SAMPLE_BYTES + 1, F.lit(1))
+    start = F.floor(F.rand(11) * places).cast("int") + 1
     rows = (
         sampled(pages, samples, pages.count()).select(
             "page_id", "url", F.sha1(body).alias("digest"), F.length(body).cast("long").alias("size"),
-            F.substring(body, 1, SAMPLE_BYTES).alias("body"),
+            F.substring(body, start, F.lit(SAMPLE_BYTES)).alias("body"),
         ).collect()
     )
     heads = []

@@ -8,6 +8,8 @@ import struct
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from careerlake.llm import warc
 
 ROWS = [
@@ -97,3 +99,11 @@ def test_damage_is_noticed(spark, pages, tmp_path):
 def test_empty_table(spark, pages):
     index, records = warc.archived(pages.limit(0))
     assert index.count() == records.count() == 0
+
+
+def test_the_dictionary_sees_whole_payloads(spark):
+    """What stands only far down in long payloads is in the dictionary, too."""
+    pages = spark.range(300).select(
+        F.col("id").alias("page_id"), F.lit("http://h.org/").alias("url"),
+        F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 512), 100), F.repeat(F.lit("<footer>mark</footer>"), 400)).alias("html"))
+    assert b"<footer>mark" in warc.dictionary(pages)
