@@ -88,3 +88,13 @@ def test_entropy_and_counts(spark):
         "url", "host", "path", "f_",
     ).first()
     assert (wide.f_depth, wide.f_labels, wide.f_parameters, wide.f_fragment, wide.f_secure) == (3, 2, 2, 1, 1)
+
+
+def test_chances_do_not_depend_on_the_layout(spark, labelled):
+    rest = labelled.limit(200).withColumn("host", urls.host(F.col("url"))).withColumn("path", urls.path(F.col("url")))
+
+    def chances(parts):
+        judged, chance = urls.train(labelled.repartition(parts), sample=700).block_chance(rest, "url", "host", "path")
+        return {r.page_id: r[chance] for r in judged.collect()}
+
+    assert chances(1) == pytest.approx(chances(16))
