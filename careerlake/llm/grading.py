@@ -8,7 +8,7 @@ A text's buckets are those of its distinct lower-cased words and of a few coarse
 shares of symbols, capitals, different words and repeats), each counted once. Fitting minimises
 the likelihood with an L2 penalty, over buckets whose documents differ from the rest in mean grade:
 most words tell nothing, and their weights would only learn the sample by heart. Fitting takes a
-random sample of about ``SAMPLE`` labelled rows; every document is scored, in Arrow batches and
+sample of about ``SAMPLE`` labelled rows, drawn by a hash of their ids; every document is scored, in Arrow batches and
 without a shuffle.
 
 Null and empty texts have the buckets of their measures alone. Labels without a document, or
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from careerlake.llm.common import fresh, sampled, written
+from careerlake.llm.common import drawn, fresh, written
 
 BUCKETS = 1 << 18
 SAMPLE = 6000  # rated documents
@@ -143,8 +143,8 @@ def train(
     """
     known = grades.select(F.col(doc_id).alias("doc_id"), F.col(grade).cast("int").alias("grade")).filter(
         F.col("grade").between(0, top) & F.col("doc_id").isNotNull()
-    )
-    chosen = written(sampled(known, sample, known.count()), "graded")
+    ).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    chosen = written(drawn(known, F.col("doc_id"), sample, known.count()), "graded")
     # One row per id, however often it repeats; texts are looked at after that.
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").groupBy(
         "doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))

@@ -66,3 +66,9 @@ def test_given_labels(spark):
     rows = grading.graded(docs.join(labels.filter("doc_id % 2 = 1"), "doc_id"), model).collect()
     right = sum((r.tail_2 > 0.5) == (r.grade == 2) for r in rows) / len(rows)
     assert right > 0.97, right
+
+
+def test_the_sample_does_not_depend_on_the_layout(spark, rated):
+    grades = rated.select("doc_id", "grade")
+    models = [grading.train(rated.drop("grade").repartition(n), grades.repartition(n), top=2, sample=400) for n in (1, 16)]
+    assert np.allclose(models[0].weights, models[1].weights) and np.allclose(models[0].thresholds, models[1].thresholds)
