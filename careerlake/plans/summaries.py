@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerlake.functions import display
+from careerlake.functions.text import cloud_tokens
 from careerlake.model import Star
 from careerlake.plans import dashboard
 from careerlake.plans.star import ALL, Filters, matching_jobs, with_category_count
@@ -255,3 +256,31 @@ def top_locations(summary: Summaries, filters: Filters = Filters(), n: int = das
     """Locations with the most jobs and their share among those shown."""
     counts = _counted(summary, filters, "location", "location_name").filter("location_name IS NOT NULL")
     return dashboard.shares(counts, n)
+
+
+def word_sketch(texts: DataFrame, column: str, stop_words: Sequence[str], tracked: int = 100_000) -> DataFrame:
+    """``state, total``: one row that stands for the words of a load.
+
+    The state is a frequent-items sketch of at most ``tracked`` words; rows of several loads are
+    kept side by side and combined on request.
+    """
+    words = texts.filter(F.col(column).isNotNull()).select(F.explode(cloud_tokens(F.col(column), stop_words)).alias("word"))
+    return words.agg(
+        F.expr(f"approx_top_k_accumulate(word, {int(tracked)})").alias("state"), F.count(F.lit(1)).alias("total"))
+
+
+def top_words(sketches: DataFrame, n: int = dashboard.CLOUD_WORDS) -> DataFrame:
+    """``word, n, most_error`` of the ``n`` most common words of all loads together.
+
+    A count may be too high by ``most_error`` at most; it is exact while the loads together have
+    fewer different words than the sketch tracks.
+    """
+    # A sketch of so many items has a table of the next power of two above 4/3 of them, and errs by
+    # 3.5 parts of all words over its size at most.
+    combined = sketches.agg(F.expr("approx_top_k_combine(state)").alias("state"), F.sum("total").alias("total"))
+    size = F.pow(F.lit(2), F.ceil(F.log2(F.col("state.maxItemsTracked") / F.lit(0.75))))
+    listed = combined.select(
+        # More than asked for, so that words with equal counts can be told apart by name.
+        F.explode(F.expr(f"approx_top_k_estimate(state, {10 * int(n)})")).alias("e"),
+        F.ceil(F.lit(3.5) * F.col("total") / size).alias("most_error"))
+    return listed.select(F.col("e.item").alias("word"), F.col("e.count").alias("n"), "most_error").orderBy(F.desc("n"), "word").limit(n)

@@ -49,7 +49,17 @@ def _summary(report, **options):
     return query
 
 
+def _top_words(spark, sf):
+    """The most common words of all texts, out of the sketches of four loads."""
+    docs, path = roles.table(spark, sf, "documents"), scratch_path(spark, "words")
+    for load in range(4):
+        part = docs.filter(F.col("doc_id") % 4 == load)
+        summaries.word_sketch(part, "text", STOP_WORDS).write.mode("append").parquet(path)
+    return summaries.top_words(spark.read.parquet(path)).select("word", "n")
+
+
 QUERIES = {
+    "top_words_sketch": _top_words,
     "kpi_summary": _summary(summaries.kpi),
     "kpi_summary_filtered": _summary(summaries.kpi, filters=CHOSEN),
     "top_skills_summary": _summary(summaries.top_skills, filters=_PLACE),
@@ -223,6 +233,7 @@ ORACLE = {
           UNION ALL SELECT DISTINCT 'location', location_name FROM loc)"""),
 }
 
+ORACLE["top_words_sketch"] = f"{_words('text', '1', 'documents')} ORDER BY n DESC, word LIMIT 50"
 ORACLE |= {f"{name}_summary": ORACLE[name] for name in ("kpi", "treemap")} | {
     "kpi_summary_filtered": ORACLE["kpi_filtered"], "top_skills_summary": ORACLE["top_skills_by_location"],
     "salaries_summary": ORACLE["salary_by_experience"],

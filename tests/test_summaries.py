@@ -9,7 +9,7 @@ from careerlake.plans import dashboard, summaries
 from careerlake.plans.star import Filters
 from harness import roles
 from harness.compare import plain
-from harness.dashboard import CHOSEN
+from harness.dashboard import CHOSEN, STOP_WORDS
 from tests.conftest import SMALL
 
 CHOICES = [Filters(), CHOSEN, Filters(location="NATION_3"), Filters(category="PROMO"), Filters(level="2-HIGH", industry="NATION_7"),
@@ -61,3 +61,18 @@ def test_rows_do_not_grow_with_the_jobs(spark):
     whole = summaries.summarize(star)
     few, many = one.jobs.count(), whole.jobs.count()
     assert many < 2 * few
+
+
+def test_word_sketches_of_loads_are_combined(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    parts = [summaries.word_sketch(docs.filter(f"doc_id % 3 = {k}"), "text", STOP_WORDS) for k in range(3)]
+    sketches = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    want = dashboard.word_counts(docs, "text", STOP_WORDS).orderBy(F.desc("n"), "word").limit(50).collect()
+    got = summaries.top_words(sketches).collect()
+    assert [(r.word, r.n) for r in got] == [tuple(r) for r in want]
+    tight = [summaries.word_sketch(docs, "text", STOP_WORDS, tracked=100)]
+    exact = {r.word: r.n for r in dashboard.word_counts(docs, "text", STOP_WORDS).collect()}
+    for r in summaries.top_words(tight[0], 10).collect():
+        assert exact[r.word] <= r.n <= exact[r.word] + r.most_error
+    nothing = summaries.word_sketch(docs.limit(0), "text", STOP_WORDS)
+    assert summaries.top_words(nothing).isEmpty()
