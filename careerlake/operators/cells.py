@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careerlake.operators.nearest import BLOCK, BRANCH_SIZE, CHUNK, _compare_blocks, _pack, _unit
+from careerlake.operators.nearest import BLOCK, BRANCH_SIZE, CHUNK, compare_blocks, packed_rows, unit_rows
 from careerlake.operators.ranking import top_k
 from careerlake.session import checkpointed
 
@@ -39,13 +39,13 @@ def fit_centroids(docs: DataFrame, cells: int, sample: int = SAMPLE, seed: int =
     if vectors.isEmpty():
         return np.zeros((0, 1))
     model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(vectors)
-    return _unit(np.array(model.clusterCenters()))
+    return unit_rows(np.array(model.clusterCenters()))
 
 
 def _angles(column: pa.Array, centroids: np.ndarray) -> np.ndarray:
     """Angles between vectors and centroids; NaN for vectors without length."""
     vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return np.arccos(np.clip(_unit(vectors) @ centroids.T, -1, 1))
+    return np.arccos(np.clip(unit_rows(vectors) @ centroids.T, -1, 1))
 
 
 @dataclass(frozen=True)
@@ -128,13 +128,13 @@ class CellIndex:
         vector = F.col("embedding").cast("array<double>").alias("embedding")
         docs = self.docs.select("job_id", vector, F.col("cell").cast("bigint").alias("stripe"))
         wanted = docs.join(probes.select("stripe").distinct(), "stripe", "left_semi").select("job_id", "embedding", "stripe")
-        blocks = _pack(wanted.repartition("stripe", part).sortWithinPartitions("stripe"), BLOCK)
-        chunks = _pack(probes.select("query_id", vector, "stripe").repartition(
+        blocks = packed_rows(wanted.repartition("stripe", part).sortWithinPartitions("stripe"), BLOCK)
+        chunks = packed_rows(probes.select("query_id", vector, "stripe").repartition(
             "stripe", F.pmod(F.xxhash64("query_id"), F.lit(SLICES))).sortWithinPartitions("stripe"), CHUNK, "q_")
         one = F.element_at("stripe", 1)
         pairs = chunks.withColumn("q_stripe", F.element_at("q_stripe", 1)).withColumnRenamed("q_stripe", "stripe").join(
             blocks.withColumn("stripe", one), "stripe")
-        local = _compare_blocks(pairs, k, probes.schema["query_id"].dataType, self.docs.schema["job_id"].dataType)
+        local = compare_blocks(pairs, k, probes.schema["query_id"].dataType, self.docs.schema["job_id"].dataType)
         ranked = top_k(local, ["query_id"], [F.col("vector_distance"), F.col("job_id")], k)
         return ranked.select(
             "query_id", "job_id", F.nullif("vector_distance", F.lit(float("nan"))).alias("vector_distance"), "rank")

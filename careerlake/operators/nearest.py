@@ -132,14 +132,15 @@ def _packer(size: int, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatc
     return packed
 
 
-def _pack(df: DataFrame, size: int, prefix: str = "") -> DataFrame:
+def packed_rows(df: DataFrame, size: int, prefix: str = "") -> DataFrame:
+    """Up to ``size`` rows of a task as one row of lists, their columns renamed by a prefix."""
     schema = ", ".join(
         f"{f.name} {'array<double>' if f.name == 'embedding' else f'array<{f.dataType.simpleString()}>'}" for f in df.schema)
     packed = df.mapInArrow(_packer(size, df.columns), schema)
     return packed.select(*(F.col(c).alias(f"{prefix}{c}") for c in packed.columns))
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; a zero row becomes NaN, as its cosine is undefined."""
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -172,9 +173,9 @@ def _compare(size: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]
         of = {name: batch.column(name)[row].values for name in batch.schema.names if name != "stripe"}
         ids = of["job_id"].to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")  # so that places among equals follow the ids
-        units = _unit(of["embedding"].to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order])
+        units = unit_rows(of["embedding"].to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order])
         count = len(of["q_query_id"])
-        wanted = _unit(of["q_embedding"].to_numpy(zero_copy_only=False).reshape(count, -1))
+        wanted = unit_rows(of["q_embedding"].to_numpy(zero_copy_only=False).reshape(count, -1))
         # Rounding far below float precision makes equal vectors tie exactly.
         distances = np.nan_to_num(np.round(1.0 - wanted @ units.T, 12), nan=NO_DISTANCE)
 
@@ -215,13 +216,13 @@ def _against(docs: DataFrame, requests: DataFrame, size: int, chunk: int) -> Dat
     """The best of each block for each request, scope and branch."""
     spark = docs.sparkSession
     stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _pack(docs, BLOCK).withColumn("stripe", F.pmod(F.xxhash64(F.element_at("job_id", 1)), F.lit(stripes)))
-    chunks = _pack(requests.repartition("query_id"), chunk, "q_").withColumn(
+    blocks = packed_rows(docs, BLOCK).withColumn("stripe", F.pmod(F.xxhash64(F.element_at("job_id", 1)), F.lit(stripes)))
+    chunks = packed_rows(requests.repartition("query_id"), chunk, "q_").withColumn(
         "stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(stripes - 1).cast("bigint"))))
-    return _compare_blocks(chunks.join(blocks, "stripe"), size, requests.schema["query_id"].dataType, docs.schema["job_id"].dataType)
+    return compare_blocks(chunks.join(blocks, "stripe"), size, requests.schema["query_id"].dataType, docs.schema["job_id"].dataType)
 
 
-def _compare_blocks(pairs: DataFrame, size: int, query_id: T.DataType, job_id: T.DataType) -> DataFrame:
+def compare_blocks(pairs: DataFrame, size: int, query_id: T.DataType, job_id: T.DataType) -> DataFrame:
     """The best of each pair of a chunk and a block."""
     schema = pa.schema([
         ("query_id", to_arrow_type(query_id)), ("job_id", to_arrow_type(job_id)), ("scope", pa.string()),
