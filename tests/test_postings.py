@@ -75,3 +75,23 @@ def test_a_gram_of_most_titles_is_dealt_out(spark):
     docs = spark.range(2000).select(F.col("id").alias("job_id"), F.lit("The same title").alias("job_title"))
     parts = postings.index_titles(docs).postings.filter("gram = 'itl'").groupBy("slice").count().collect()
     assert len(parts) == postings.SLICES and max(r["count"] for r in parts) < 300
+
+
+def test_titles_are_checked_where_they_meet_a_question(tables):
+    docs, requests, index = tables
+    found = postings._titled(requests, docs, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join" in line)
+    assert "slice" in last and "forall" in last
+
+
+def test_requests_that_ask_the_same_are_one_question(spark, tables):
+    docs, _, index = tables
+    asked = spark.range(50).select(
+        F.col("id").alias("query_id"), F.array(F.lit("developer")).alias("title_words"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("remote"))).otherwise(F.array().cast("array<string>")).alias("places"))
+    ids, questions = postings._questions(asked)
+    assert questions.count() == 2 and ids.count() == 50
+    rows = postings.keyword_table(asked, docs, index).groupBy("query_id").agg(F.sort_array(F.collect_list("job_id")).alias("jobs")).collect()
+    assert len(rows) == 50
+    assert {tuple(r.jobs) for r in rows if r.query_id % 2} == {(1, 2, 8, 10)} and {tuple(r.jobs) for r in rows if r.query_id % 2 == 0} == {(2, 10)}
