@@ -4,13 +4,17 @@ A summary holds sets of jobs as bitmaps: one for every value of a dimension and
 ids, so rows grow with the values times the id range and not with the jobs. Numbers are kept as bit
 slices, bitmaps of the jobs whose number has a certain bit, from which sums come out exact. Reports
 intersect the bitmaps of the chosen filters and of their groups, and count bits: distinct jobs, as
-every job is one bit. Companies are bitmaps of company ids per level, category, industry and location.
+every job is one bit. Companies are one narrow row per posting, found from the bits of the jobs.
 
 Each load appends the summary of its own jobs; bitmaps of several loads are united on reading. So
 a job may be added twice, but a job whose values have changed needs its summary made anew.
 
-Names that are null form a group of their own, as in the reports over the star. Job and company ids
-must not be null.
+Bitmaps are built from 64-bit words: the entries of a bucket come together as narrow rows, words are
+an ordinary hash aggregate of them, and a group has at most 512. So no bitmap is made for the few bits
+that one task sees of a group, and tasks hold words of their own buckets only.
+
+Names that are null form a group of their own, as in the reports over the star. Job ids must not be
+null, and a posting without company counts for none.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ from careerlake.session import checkpointed
 
 _NUMBERS = ["salary_numeric", "years_of_experience"]
 _CELL = ["level", "category", "industry", "location"]
+_OWN = ["level", "industry"]  # filters that a posting's own row answers; the others go by job
+_WORDS, _WORD = 512, 64  # words of a bitmap, and bits of a word
 
 
 @dataclass(frozen=True)
 class Summaries:
-    """``jobs(dimension, value, bucket, bits)`` and ``companies(level, category, industry, location, bucket, bits)``."""
+    """``jobs(dimension, value, bucket, bits)`` and ``companies(level, industry, bucket, position, company_id)``."""
 
     jobs: DataFrame
     companies: DataFrame
@@ -53,16 +59,31 @@ class Summaries:
         )
 
 
-def _bits(rows: DataFrame, labels: Sequence[str], member: str) -> DataFrame:
-    """Bitmaps of the members of each group."""
-    return rows.groupBy(*labels, F.bitmap_bucket_number(member).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(member)).alias("bits"))
+def _bits(rows: DataFrame) -> DataFrame:
+    """Bitmaps of the jobs of each entry, from ``job_id, entries``.
+
+    The bits of a word are numbered so that its hexadecimal digits are its bytes in the bitmap.
+    """
+    placed = rows.select(F.bitmap_bucket_number("job_id").alias("bucket"), F.bitmap_bit_position("job_id").alias("position"), "entries")
+    position = F.col("position")
+    shift = (56 - F.floor(position % _WORD / 8) * 8 + position % 8).cast("int")
+    words = placed.repartition("bucket").select(
+        "bucket", F.floor(position / _WORD).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), shift).alias("bit"),
+        F.inline("entries")).groupBy("bucket", "dimension", "value", "word").agg(F.bit_or("bit").alias("ones"))
+    listed = words.groupBy("bucket", "dimension", "value").agg(F.array_sort(F.collect_list(F.struct("word", "ones"))).alias("words"))
+
+    def piece(entry: Column, at: Column) -> Column:
+        before = F.when(at > 0, F.get("words", at - 1)["word"]).otherwise(-1)
+        return F.concat(F.repeat(F.lit("0" * 16), entry["word"] - before - 1), F.lpad(F.hex(entry["ones"]), 16, "0"))
+
+    digits = F.array_join(F.transform("words", piece), "")
+    return listed.select("dimension", "value", "bucket", F.unhex(F.rpad(digits, 16 * _WORDS, "0")).alias("bits"))
 
 
 def _slices(name: str, number: Column) -> Column:
     """One entry for each bit that is set in a positive number."""
     size = F.coalesce(F.greatest(number.cast("bigint"), F.lit(0)), F.lit(0))
-    ones = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("shiftright", size, k).bitwiseAND(F.lit(1)) == 1)
+    ones = F.filter(F.sequence(F.lit(0), F.length(F.bin(size)) - 1), lambda k: F.call_function("shiftright", size, k).bitwiseAND(F.lit(1)) == 1)
     return F.transform(ones, lambda k: F.struct(F.lit(name).alias("dimension"), k.cast("string").alias("value")))
 
 
@@ -88,19 +109,14 @@ def summarize(star: Star) -> Summaries:
     ids = jobs.select("job_id")
 
     def listed(dimension: str, table: DataFrame, name: str) -> DataFrame:
-        return table.join(ids, "job_id", "left_semi").select(
-            "job_id", F.lit(dimension).alias("dimension"), F.col(name).alias("value"))
+        return table.join(ids, "job_id", "left_semi").select("job_id", F.array(entry(dimension, F.col(name))).alias("entries"))
 
     bridges = [("skill", star.dim_skills, "skill_name"), ("category", star.dim_categories, "category_name"),
                ("location", star.dim_locations, "location_name")]
-    rows = reduce(DataFrame.unionByName, [listed(*b) for b in bridges], jobs.select("job_id", F.explode(own).alias("e")).select("job_id", "e.*"))
-    cells = jobs.select("job_id", "company_id", "level", "industry")
-    for name, table, column in bridges[1:]:
-        cells = cells.join(table.select("job_id", F.col(column).alias(name)), "job_id", "left")
-    return Summaries(
-        _bits(rows, ["dimension", "value"], "job_id"),
-        _bits(cells.select(*_CELL, "company_id").filter("company_id IS NOT NULL"), _CELL, "company_id"),
-    )
+    rows = reduce(DataFrame.unionByName, [listed(*b) for b in bridges], jobs.select("job_id", own.alias("entries")))
+    employers = jobs.filter("company_id IS NOT NULL").select(
+        *_OWN, F.bitmap_bucket_number("job_id").alias("bucket"), F.bitmap_bit_position("job_id").cast("int").alias("position"), "company_id")
+    return Summaries(_bits(rows), employers)
 
 
 def _chosen(filters: Filters) -> dict[str, str]:
@@ -113,9 +129,8 @@ def _values(summary: Summaries, *dimensions: str) -> DataFrame:
         F.bitmap_or_agg("bits").alias("bits"))
 
 
-def _selected(summary: Summaries, filters: Filters) -> DataFrame:
-    """Bitmaps of the jobs that pass the filters."""
-    chosen = _chosen(filters)
+def _selected(summary: Summaries, chosen: dict[str, str]) -> DataFrame:
+    """Bitmaps of the jobs that have the chosen values."""
     asked = reduce(
         lambda a, b: a | b,
         [(F.col("dimension") == name) & (F.col("value") == value) for name, value in chosen.items()],
@@ -136,6 +151,26 @@ def _meet(groups: DataFrame, other: DataFrame, labels: Sequence[str]) -> DataFra
     return met.filter(F.bitmap_count("bits") > 0)
 
 
+def _positions(sets: DataFrame) -> DataFrame:
+    """``bucket, position`` of every bit of the sets."""
+    octets = sets.select("bucket", F.posexplode(F.split(F.regexp_replace(F.hex("bits"), "(..)", "$1,"), ",")).alias("octet", "digits"))
+    held = octets.filter(~F.col("digits").isin("", "00")).withColumn("ones", F.conv("digits", 16, 10).cast("int"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftright", F.col("ones"), k).bitwiseAND(F.lit(1)) == 1)
+    return held.select("bucket", "octet", F.explode(bits).alias("k")).select("bucket", (F.col("octet") * 8 + F.col("k")).alias("position"))
+
+
+def _companies(summary: Summaries, filters: Filters) -> DataFrame:
+    """Distinct companies of the postings that pass the filters, as ``total_companies``."""
+    chosen = _chosen(filters)
+    rows = summary.companies
+    for name in set(chosen) & set(_OWN):
+        rows = rows.filter(F.col(name) == chosen[name])
+    by_job = {name: value for name, value in chosen.items() if name not in _OWN}
+    if by_job:
+        rows = rows.join(_positions(_selected(summary, by_job)), ["bucket", "position"], "left_semi")
+    return rows.agg(F.count_distinct("company_id").alias("total_companies"))
+
+
 def _named(summary: Summaries, dimension: str, name: str) -> DataFrame:
     return _values(summary, dimension).select(F.col("value").alias(name), "bucket", "bits")
 
@@ -171,11 +206,7 @@ def _weighted(summary: Summaries, filters: Filters, groups: DataFrame, labels: S
 
 def kpi(summary: Summaries, filters: Filters = Filters()) -> DataFrame:
     """Jobs, companies, mean non-zero salary and mean years, as one row."""
-    selected = checkpointed(_selected(summary, filters))
-    cells = summary.companies
-    for name, value in _chosen(filters).items():
-        cells = cells.filter(F.col(name) == value)
-    companies = cells.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    selected = checkpointed(_selected(summary, _chosen(filters)))
     groups = checkpointed(_weighted(summary, filters, selected, []))
     copies = F.col("copies").cast("int")
     paid = _jobs(_meet(groups, _paid(summary, True), ["copies"]), ["copies"])
@@ -183,7 +214,7 @@ def kpi(summary: Summaries, filters: Filters = Filters()) -> DataFrame:
     years = _jobs(_meet(groups, _named(summary, "years", "years"), ["copies", "years"]), ["copies", "years"])
     tables = [
         _jobs(selected, []).select(F.col("jobs").alias("total_jobs")),
-        _jobs(companies, []).select(F.col("jobs").alias("total_companies")),
+        _companies(summary, filters),
         paid.agg(F.sum(copies * F.col("jobs")).alias("_paid")),
         earned.agg(F.sum(copies * F.col("amount")).alias("_earned")),
         years.agg((F.sum(copies * F.col("jobs") * F.col("years").cast("int")) / F.sum(copies * F.col("jobs"))).alias("avg_experience")),
@@ -197,7 +228,7 @@ def kpi(summary: Summaries, filters: Filters = Filters()) -> DataFrame:
 
 
 def _counted(summary: Summaries, filters: Filters, dimension: str, name: str) -> DataFrame:
-    return _jobs(_meet(_named(summary, dimension, name), _selected(summary, filters), [name]), [name])
+    return _jobs(_meet(_named(summary, dimension, name), _selected(summary, _chosen(filters)), [name]), [name])
 
 
 def top_skills(summary: Summaries, filters: Filters = Filters(), n: int = dashboard.TOP_SKILLS) -> DataFrame:
@@ -217,7 +248,7 @@ def category_salaries(summary: Summaries, filters: Filters = Filters(), n: int =
     if filters.category != ALL:
         listed = listed.filter(F.col("category_name") == filters.category)
     paid = _paid(summary, False)
-    groups = checkpointed(_meet(_meet(listed, _selected(summary, filters), name), paid, name))
+    groups = checkpointed(_meet(_meet(listed, _selected(summary, _chosen(filters)), name), paid, name))
     means = _jobs(groups, name).join(_amounts(summary, groups, name, losses=False), name).select(
         *name, (F.col("amount").cast("double") / F.col("jobs")).alias("avg_salary"))
     return means.orderBy(F.desc("avg_salary"), F.asc("category_name")).limit(n).withColumn(
@@ -229,7 +260,7 @@ def salary_by_experience(summary: Summaries, filters: Filters = Filters(), most_
     labels = ["years_of_experience"]
     listed = _named(summary, "years", labels[0]).filter(F.col(labels[0]).cast("int") <= most_years)
     paid = _paid(summary, False)
-    groups = _meet(_meet(listed, _selected(summary, filters), labels), paid, labels)
+    groups = _meet(_meet(listed, _selected(summary, _chosen(filters)), labels), paid, labels)
     weighted = checkpointed(_weighted(summary, filters, groups, labels))
     labels.append("copies")
     copies = F.col("copies").cast("int")
@@ -247,7 +278,7 @@ def treemap(summary: Summaries, filters: Filters = Filters(), industries: int =
     if filters.category != ALL:
         listed = listed.filter(F.col("category_name") == filters.category)
     here = _meet(_named(summary, "industry", "industry_name").filter("industry_name IS NOT NULL"),
-                 _selected(summary, filters), ["industry_name"])
+                 _selected(summary, _chosen(filters)), ["industry_name"])
     labels = ["industry_name", "category_name"]
     return dashboard.shaded(_jobs(_meet(here, listed, labels), labels), industries, categories)
 

@@ -76,3 +76,25 @@ def test_word_sketches_of_loads_are_combined(spark):
         assert exact[r.word] <= r.n <= exact[r.word] + r.most_error
     nothing = summaries.word_sketch(docs.limit(0), "text", STOP_WORDS)
     assert summaries.top_words(nothing).isEmpty()
+
+
+def test_tasks_send_narrow_rows_and_no_bitmaps(spark):
+    """Bitmaps are finished where their bucket is: no exchange carries the bits of one task."""
+    star = roles.star(spark, SMALL)
+    made = summaries.summarize(star)
+    plan = made.jobs._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Exchange")]
+    assert "unhex" in above and "bit_or" in above and "bitmap_construct_agg" not in plan
+    assert made.companies.count() == star.fact_job_postings.join(star.dim_job_details, "job_id").count()
+
+
+def test_bits_stand_where_the_bitmap_functions_look(spark):
+    ids = [-70000, -1, 0, 1, 2, 63, 64, 65, 32767, 32768, 32769, 10**12]
+    rows = spark.createDataFrame([(i,) for i in ids], "job_id long").withColumn(
+        "entries", F.array(F.struct(F.lit("d").alias("dimension"), F.lit(None).cast("string").alias("value"))))
+    want = rows.groupBy(F.bitmap_bucket_number("job_id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("job_id")).alias("bits"))
+    got = summaries._bits(rows)
+    assert sorted(map(tuple, got.select("bucket", "bits").collect())) == sorted(map(tuple, want.collect()))
+    held = rows.select(F.bitmap_bucket_number("job_id"), F.bitmap_bit_position("job_id")).distinct().collect()
+    assert sorted(map(tuple, summaries._positions(got).collect())) == sorted(map(tuple, held))
