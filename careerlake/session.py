@@ -16,14 +16,22 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Narrow rows compress well, and a task holds them unpacked in its sorts and hash tables, often in
+    # several at once. So exchanges are cut into many pieces, of which AQE joins up to this much for a task.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Exchanges have at least so many pieces: a fixed few would grow with the tables.
+LEAST_PIECES = 512
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    pieces = max(LEAST_PIECES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(pieces))
     return spark
 
 
