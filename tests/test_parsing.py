@@ -30,6 +30,11 @@ def test_salaries(spark):
     assert [(SALARIES[r.i][0], r.a, r.f) for r in sorted(rows)] == SALARIES
 
 
+def test_a_salary_is_read_once_per_row(spark):
+    kept = parsing.plausible_salary(parsing.salary_amount(F.col("t")))
+    assert kept._jc.toString().count("regexp_extract(") == 2
+
+
 @pytest.mark.parametrize("written,expected", [
     ("Không yêu cầu", 0), ("3 năm", 3), ("1 - 3 năm", 13), ("abc", 0), (None, 0),
     ("99999999999 năm", 0),
@@ -96,3 +101,11 @@ def test_vectors(spark):
     assert distances[0] == 1.0 and abs(distances[1]) < 1e-12 and distances[2] is None
     codec = df.select(vector_to_text(F.col("a")).alias("t")).select("t", vector_from_text(F.col("t")))
     assert tuple(codec.first()) == ("[1.0,0.0]", [1.0, 0.0])
+
+
+def test_stop_words_of_several_words(spark):
+    """Joined terms are met by stop words with blanks; one written with "_" meets none."""
+    df = spark.createDataFrame([("b d_e a vị_trí x",), (None,), ("b",)], "t string")
+    shown = text.normalize(F.col("t"), ["vị trí", "b", "d_e", ""])
+    assert [r[0] for r in df.select(shown).collect()] == ["d_e a x", "", ""]
+    assert "translate(" not in df.select(shown)._jdf.queryExecution().optimizedPlan().toString()
