@@ -8,7 +8,6 @@ industry that owns a large part of the jobs is one row by then.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +18,7 @@ from careerlake.functions.text import cloud_tokens
 from careerlake.model import Star
 from careerlake.operators.ranking import top_k
 from careerlake.plans.star import (
-    ALL, Filters, job_categories, matching_jobs, with_category_count,
+    ALL, ChosenStar, Filters, job_categories, matching_jobs, with_category_count,
 )
 from careerlake.session import checkpointed
 
@@ -228,13 +227,15 @@ TABLE_TEXTS = {
 }
 
 
-def latest_jobs(star: Star, filters: Filters = Filters(), n: int = TABLE_ROWS) -> DataFrame:
+def latest_jobs(star: Star, filters: Filters = Filters(), n: int = TABLE_ROWS,
+                chosen: ChosenStar | None = None) -> DataFrame:
     """Newest jobs with their texts; jobs without a date come first.
 
     The rows are picked from ids and dates alone, once: the few chosen ids are written down.
-    Only the chosen jobs are joined to company names and long texts.
+    Only the chosen jobs are joined to company names and long texts. ``chosen`` may hold the
+    jobs that pass the filters.
     """
-    jobs = matching_jobs(star, filters, ["posted_date"])
+    jobs = matching_jobs(chosen or star, filters, ["posted_date"])
     dated = jobs.groupBy("job_id").agg(F.max("posted_date").alias("posted_date"))
     newest = checkpointed(
         dated.orderBy(F.desc_nulls_first("posted_date"), F.asc("job_id")).limit(n))
@@ -285,16 +286,13 @@ def sorted_options(options: DataFrame) -> DataFrame:
         "filter", "position")
 
 
-def _base_star(star: Star, filters: Filters) -> Star:
-    """The star with only the jobs that pass the filters, written down once.
+def _base_star(star: Star, filters: Filters) -> ChosenStar:
+    """The star with the joined rows of the jobs that pass the filters, written down once.
 
-    Reports of one document read these narrow rows instead of filtering the facts ten times.
+    Reports of one document read these narrow rows instead of joining and filtering ten times.
     """
     columns = ["job_level", "salary_numeric", "years_of_experience", "posted_date"]
-    base = checkpointed(matching_jobs(star, filters, columns))
-    return replace(
-        star, fact_job_postings=base.select("job_id", "company_id", "industry_id"),
-        dim_job_details=base.select("job_id", *columns).dropDuplicates(["job_id"]))
+    return ChosenStar(**star.tables(), jobs=checkpointed(matching_jobs(star, filters, columns)))
 
 
 def dashboard_document(star: Star, stop_words: Sequence[str], filters: Filters = Filters()
@@ -349,7 +347,7 @@ def dashboard_document(star: Star, stop_words: Sequence[str], filters: Filters =
               {"labels": label("location_name"), "data": jobs}),
         table(word_cloud(star, stop_words, filters), "word_cloud",
               [-F.col("value"), F.col("key")], {"key": F.col("key"), "value": F.col("value")}),
-        table(latest_jobs(star, filters), "table_data",
+        table(latest_jobs(star, filters, chosen=narrow), "table_data",
               [F.col("posted_date").isNotNull(), -F.unix_date("posted_date"), F.col("job_id")],
               {name: F.col(name) for name in TABLE_TEXTS}),
     ]

@@ -24,6 +24,13 @@ class Filters:
     location: str = ALL
 
 
+@dataclass(frozen=True)
+class ChosenStar(Star):
+    """A star of jobs that have passed the filters, with their joined rows in ``jobs``."""
+
+    jobs: DataFrame
+
+
 def matching_jobs(star: Star, filters: Filters = Filters(), columns: Sequence[str] = ()
                   ) -> DataFrame:
     """One row per posting that passes the filters, with the detail ``columns`` asked for.
@@ -33,6 +40,8 @@ def matching_jobs(star: Star, filters: Filters = Filters(), columns: Sequence[st
     The joins share the key ``job_id``, so one exchange per table serves them all.
     """
     needed = ["job_id", *columns]
+    if isinstance(star, ChosenStar):
+        return star.jobs.select("company_id", "industry_id", *dict.fromkeys(needed))
     details = star.dim_job_details
     if filters.level != ALL:
         details = details.filter(F.col("job_level") == filters.level)

@@ -77,3 +77,15 @@ def test_stop_words_are_dropped(spark):
     texts = spark.createDataFrame([("experience kinh nghiem skills Python python",)], "t string")
     rows = dashboard.word_counts(texts, "t", ["experience", "skills", "kinh"]).collect()
     assert {(r.word, r.n) for r in rows} == {("nghiem", 1), ("python", 2)}
+
+
+def test_reports_of_a_document_join_the_facts_once(spark):
+    star = roles.star(spark, SMALL)
+    place = Filters(location="NATION_3")
+    chosen = dashboard._base_star(star, place)
+    plan = dashboard.level_distribution(chosen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    for report in (dashboard.kpi, dashboard.top_skills, dashboard.salary_by_experience):
+        assert report(chosen).collect() == report(star, place).collect()
+    newest = dashboard.latest_jobs(star, place, chosen=chosen).collect()
+    assert newest == dashboard.latest_jobs(star, place).collect()
