@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from careerlake.functions.text import scrub_null_tokens
 from careerlake.model import STAGING
+from careerlake.session import at_once
 from careerlake.sources import files
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"',
@@ -42,11 +43,14 @@ def read_extracts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def write_extracts(tables: Mapping[str, DataFrame], folder: str) -> None:
     """Replace the extracts of a folder, all seven of them."""
-    for name, df in tables.items():
+    def write(name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").options(
             header=True, quote='"', escape='"', emptyValue="",
             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/{name}.csv")
 
+    if tables:
+        at_once(next(iter(tables.values())).sparkSession, write, tables.items())
+
 
 def has_data(tables: Mapping[str, DataFrame]) -> bool:
     """True if any staging table holds a row."""
