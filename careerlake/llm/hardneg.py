@@ -13,6 +13,9 @@ is compared with every anchor, block against block: chunks of anchors meet all b
 equi-join on stripes of blocks, and a task returns only the first few rows of each anchor. No
 group grows with the data: many rows with one vector or label are many blocks.
 
+The joins are merges. The planner takes a packed row for a few bytes, so it would broadcast chunks
+whose copies for the stripes grow with the product of anchors and rows, all through the driver.
+
 Rows with a null id, label, vector or component take no part. Of rows that repeat an id the least by
 label, then vector, counts. Vectors may differ in length; missing components are 0. Equal scores go
 by the smaller id. Without anchors, positives or negatives there are no rows.
@@ -32,6 +35,8 @@ from careerlake.operators.ranking import top_k
 
 BLOCK = 4096  # rows packed together
 CHUNK = 256  # anchors packed together
+STRIPE = 16  # blocks that share one copy of the anchors
+STRIPES = 256  # up to so many stripes, one block each will do
 STEP = 8  # columns read between two looks at the bounds
 
 _PACK = "ids array<long>, labels array<string>, scores array<array<long>>, kind string, data binary"
@@ -170,6 +175,11 @@ def _scan(search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return scan
 
 
+def _stripes(blocks: int) -> int:
+    """Stripes for so many blocks: one for each while they are few, then for ``STRIPE`` of them."""
+    return max(min(blocks, STRIPES), -(-blocks // STRIPE), 1)
+
+
 def _compared(anchors: DataFrame, blocks: DataFrame, stripes: int, search) -> DataFrame:
     """``anchor_id, base, found_id, score`` of every chunk of anchors against every block."""
     chunks = anchors.repartition("id").mapInArrow(_packer(CHUNK), _PACK)
@@ -177,7 +187,7 @@ def _compared(anchors: DataFrame, blocks: DataFrame, stripes: int, search) -> Da
         *(F.col(c).alias(f"a_{c}") for c in chunks.columns),
         F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"),
     )
-    return dealt.join(blocks, "stripe").mapInArrow(
+    return dealt.join(blocks.hint("merge"), "stripe").mapInArrow(
         _scan(search), "anchor_id long, base long, found_id long, score long"
     )
 
@@ -204,7 +214,7 @@ def hard_negatives(
     none = F.array().cast("array<long>")
     kept = written(single.withColumn("scores", none), "vectors")
     packed = written(kept.select("id", "label", "vector", "scores").mapInArrow(_packer(BLOCK), _PACK), "blocks")
-    stripes = max(packed.count(), 1)
+    stripes = _stripes(packed.count())
     blocks = packed.drop("scores").withColumn("stripe", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(stripes)).cast("int"))
     anchors = kept.filter("anchor").select("id", "label", "vector", "scores")
 
@@ -231,10 +241,10 @@ def hard_negatives(
 
     wanted = best.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_set("positive_score").alias("scores"))
     found = top_k(
-        _compared(anchors.drop("scores").join(wanted, "id").select("id", "label", "vector", "scores"), blocks, stripes, others),
+        _compared(anchors.drop("scores").join(wanted.hint("merge"), "id").select("id", "label", "vector", "scores"), blocks, stripes, others),
         ["anchor_id", "base"], order, negatives,
     ).select("anchor_id", F.col("base").alias("positive_score"), "rank", F.col("found_id").alias("negative_id"),
              F.col("score").alias("negative_score"))
-    return best.join(found, ["anchor_id", "positive_score"]).select(
+    return best.join(found.hint("merge"), ["anchor_id", "positive_score"]).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
     )

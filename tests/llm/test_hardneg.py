@@ -68,6 +68,27 @@ def test_odd_rows(spark):
     assert mined(spark, [(5, "a", [1], 0), (6, "a", [1], 0)]) == []
 
 
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans, written = [], hardneg.written
+
+    def planned(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, label):
+        plans.append(planned(df))
+        return written(df, label)
+
+    monkeypatch.setattr(hardneg, "written", noted)
+    rows = spark.createDataFrame(made(60, 4, 2), SCHEMA)
+    plans.append(planned(hardneg.hard_negatives(rows, F.col("id") % 5 == 0)))
+    assert sum(p.count("Join") for p in plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_copies_of_the_anchors_are_bounded_by_stripes():
+    assert [hardneg._stripes(n) for n in (0, 1, 100, 256, 4000)] == [1, 1, 100, 256, 256]
+    assert hardneg._stripes(100_000) == 100_000 / hardneg.STRIPE
+
+
 def test_bounds_leave_few_candidates_to_the_last_columns():
     import numpy as np
 
