@@ -19,7 +19,7 @@ their number. A null document id never names a component unless all ids of it ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,14 @@ BLOCK = 4096  # fingerprints of a key that one task compares at a time
 FEW = 32  # groups up to this size return their links as they are
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+def ascii_words(text: str | None) -> list[bytes]:
+    """Words as the fingerprint's contract has them: only A-Z are lower-cased, only ASCII spaces part words."""
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(text: str | None, width: int, split: Callable[[str | None], list[bytes]] = ascii_words) -> np.ndarray:
     """Hashes of a text's shingles of ``width`` words, in order; too few words make one, none none."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII spaces count
+    words = split(text)
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
